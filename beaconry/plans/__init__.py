@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = (
     "reads",
     "relations",
+    "sequences",
 )
 
 
