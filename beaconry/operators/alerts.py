@@ -8,9 +8,11 @@ from collections.abc import Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from beaconry.functions.scalars import col
 from beaconry.functions.series import SLICE_SECONDS, with_previous, with_running_max, with_running_sum
+from beaconry.session import cut_lineage
 
 # The shortest evaluation window in seconds, and the slack of an equality (fixed values).
 MIN_WINDOW, EPSILON = 60, 2.220446049250313e-16
@@ -126,13 +128,16 @@ def alert_phases(
 
     A run is a stretch of breaching evaluations. Its start and the first evaluation at which it
     had lasted its hold are carried along the series as running maxima of marked times, so no run
-    and no series has to fit in one task.
+    and no series has to fit in one task. Each pass reads its input twice, so the passes are
+    materialised between.
     """
     keys, at = list(key), order[0]
-    rows = with_previous(evaluations, keys, order, ["breaching", at], "_last", slice_seconds)
+    rows = cut_lineage(with_previous(evaluations, keys, order, ["breaching", at], "_last", slice_seconds))
     was_breaching = F.coalesce(F.col("_last.breaching"), F.lit(False))
     opens = F.col("breaching") & ~was_breaching
-    rows = with_running_max(rows, keys, order, F.when(opens, F.col(at)), "_start", slice_seconds)
+    rows = cut_lineage(
+        with_running_max(rows, keys, order, F.when(opens, F.col(at)), "_start", slice_seconds)
+    )
 
     def lasted(moment: Column) -> Column:
         held = F.unix_millis(moment) - F.unix_millis("_start")
@@ -211,12 +216,12 @@ def notify_throttle(
     """
     keyed = attempts.join(budgets, "tenant_id").join(channels, ["tenant_id", "channel_id"])
     order = ["at", "attempt_id"]
-    rows = with_previous(keyed, ["tenant_id"], order, ["at"], "_last", slice_seconds)
+    rows = cut_lineage(with_previous(keyed, ["tenant_id"], order, ["at"], "_last", slice_seconds))
     new_day = F.to_date("at") != F.to_date("_last.at")
     apart = F.unix_millis("at") - F.unix_millis("_last.at") >= 60_000
     cut = F.when(F.col("_last").isNull() | (new_day & apart), 1).otherwise(0)
     rows = with_running_sum(rows, ["tenant_id"], order, cut, "_island", slice_seconds).drop("_last")
-    schema = attempts.schema.add("outcome", "string")
+    schema = StructType([*attempts.schema.fields, StructField("outcome", StringType())])
     names = attempts.columns
     fields = ["tenant_id", "_island", "channel_id", "at", "budget_per_day", "max_per_minute"]
 

@@ -6,6 +6,7 @@ MODULES = (
     "reads",
     "relations",
     "sequences",
+    "alerting",
 )
 
 

@@ -285,11 +285,63 @@ def _views(d: Dialect) -> dict[str, str]:
             FROM region CROSS JOIN (SELECT DISTINCT event_type FROM events) AS e""",
         "evaluations": f"""
             SELECT m.tenant_id, r.rule_id, m.resource_id, 'rule=' || r.rule_id || ',resource=' || m.resource_id AS dedup_key,
-                   m.observed_at AS at, m.event_id AS evaluation_id, m.value,
+                   m.observed_at AS happened_at, m.event_id AS evaluation_id, m.value,
                    m.value > r.threshold AS breaching, r.hold_seconds
             FROM metrics AS m JOIN rules AS r ON m.tenant_id = r.tenant_id AND m.metric = r.metric""",
+        # Windows on one host, on a group and on a site of every tenant, in two zones without
+        # daylight saving.
+        "windows": """
+            SELECT 't' || (c_custkey % 5) AS tenant_id, 'w' || c_custkey AS window_id, 'resource' AS target_kind, 'c' || c_custkey AS target_id,
+                   TIMESTAMP '2024-01-01 20:00:00' AS starts_at, cast(60 + c_custkey % 300 as int) AS duration_minutes,
+                   CASE WHEN c_custkey % 2 = 0 THEN 'Asia/Dhaka' ELSE 'UTC' END AS timezone,
+                   CASE c_custkey % 4 WHEN 0 THEN 'once' WHEN 1 THEN 'daily' WHEN 2 THEN 'weekly' ELSE 'monthly' END AS recurrence,
+                   cast(c_custkey % 7 as int) AS weekday, cast(1 + c_custkey % 31 as int) AS day,
+                   CASE WHEN c_custkey % 8 = 1 THEN TIMESTAMP '2024-01-10 00:00:00' END AS until,
+                   c_custkey % 3 <> 0 AS suppress_alerts, c_custkey % 3 <> 1 AS suppress_notifications
+            FROM customer
+            UNION ALL
+            SELECT 't' || r_regionkey, 'wg' || r_regionkey, 'group', 'BUILDING', TIMESTAMP '2024-01-02 08:00:00', 600, 'UTC', 'daily',
+                   0, 1, NULL, r_regionkey % 2 = 0, true FROM region
+            UNION ALL
+            SELECT 't' || r_regionkey, 'ws' || r_regionkey, 'site', 'site' || r_regionkey, TIMESTAMP '2024-01-03 00:00:00', 9000, 'UTC', 'weekly',
+                   2, 1, NULL, true, false FROM region""",
+        # The last word on every series: what state it was left in.
+        "alert_states": f"""
+            SELECT tenant_id, dedup_key, max(rule_id) AS rule_id, max(resource_id) AS resource_id,
+                   CASE WHEN count(*) % 4 = 0 THEN 'firing' WHEN count(*) % 4 = 1 THEN 'pending' WHEN count(*) % 4 = 2 THEN 'resolved' ELSE 'ok' END AS state,
+                   min(happened_at) AS since, max(happened_at) AS last_eval, max(value) AS last_value,
+                   CASE WHEN count(*) % 3 = 0 THEN 'op' || (count(*) % 5) END AS acked_by,
+                   CASE WHEN count(*) % 3 = 0 THEN max(happened_at) END AS acked_at
+            FROM evaluations GROUP BY tenant_id, dedup_key""",
+        # A cycle's results: every second series moved on, and a few new ones appeared.
+        "alert_cycle": f"""
+            SELECT tenant_id, CASE WHEN last_value > 30 THEN dedup_key || ',port=1' ELSE dedup_key END AS dedup_key, rule_id, resource_id,
+                   CASE WHEN last_value > 60 THEN 'firing' WHEN last_value > 45 THEN 'pending' WHEN state = 'firing' THEN 'resolved' ELSE 'ok' END AS state,
+                   last_eval AS since, last_eval, last_value + 1 AS last_value
+            FROM alert_states WHERE last_value > 25""",
+        # An incident for every rule, its alerts, and which of them were announced.
+        "incidents": """
+            SELECT tenant_id, 'inc-' || rule_id AS incident_id, CASE WHEN rule_id LIKE '%click' THEN 'closed' ELSE 'open' END AS state,
+                   TIMESTAMP '2024-01-01 00:00:00' AS started_at, cast(NULL as timestamp) AS quiet_at FROM rules
+            UNION ALL
+            SELECT 't' || r_regionkey, 'inc-none-' || r_regionkey, 'open', TIMESTAMP '2024-01-01 00:00:00', NULL FROM region""",
+        "incident_alerts": """
+            SELECT tenant_id, 'inc-' || rule_id AS incident_id, dedup_key, resource_id, last_value > 50 AS notified, since AS first_alert_at
+            FROM alert_states WHERE state <> 'ok'""",
+        # Incidents of devices as well as hosts, so that some members have others above them.
+        "member_rows": """
+            SELECT tenant_id, incident_id, resource_id, first_alert_at FROM incident_alerts
+            UNION ALL
+            SELECT a.tenant_id, a.incident_id, e.target_id, a.first_alert_at + INTERVAL '1' MINUTE FROM incident_alerts AS a
+            JOIN edges AS e ON e.tenant_id = a.tenant_id AND e.source_id = a.resource_id WHERE a.notified
+            UNION ALL
+            SELECT tenant_id, 'solo-' || id, id, TIMESTAMP '2024-01-01 00:00:00' FROM resources WHERE kind = 'device'""",
+        "attempts": f"""
+            SELECT tenant_id, 'ch' || (event_id % 3) AS channel_id, event_id AS attempt_id,
+                   {d.at(f'{day0} + (event_id * 7919) % 259200')} AS happened_at
+            FROM metrics""",
         "firings": f"""
-            SELECT tenant_id, rule_id, resource_id, dedup_key, at, evaluation_id
+            SELECT tenant_id, rule_id, resource_id, dedup_key, happened_at, evaluation_id
             FROM evaluations WHERE breaching AND hold_seconds = 0""",
     }
 
