@@ -7,6 +7,7 @@ MODULES = (
     "relations",
     "sequences",
     "alerting",
+    "ingest",
 )
 
 

@@ -158,6 +158,93 @@ def _views(d: Dialect) -> dict[str, str]:
                    '' AS status_message, cast(0 as float) AS sampling_probability, 'lib' AS scope_name,
                    {d.map(('part', "cast(l_partkey as string)"))} AS attributes, l_orderkey, rn
             FROM numbered_lines""",
+        # --- raw input ---
+        # The parts of a line, and which of ten shapes it is written in.
+        "syslog_parts": f"""
+            SELECT event_id, 't' || (user_id % 5) AS tenant_id, {d.stamp('ts')} AS received_at,
+                   date_trunc('second', ts) - INTERVAL '2' DAY AS stamp, '192.0.2.' || (user_id % 250) AS peer,
+                   event_id % 10 AS shape, cast((event_id * 37) % 192 as int) AS pri, 'Host-' || user_id AS host, 'app_' || event_type AS app,
+                   cast(event_id % 9999 as string) AS pid, 'ID' || (event_id % 47) AS msgid,
+                   'user' || (user_id % 40) || ' said k=v in [brackets]' AS msg
+            FROM events""",
+        "syslog_lines": f"""
+            SELECT event_id, tenant_id, received_at, peer || ':514' AS peer,
+                   CASE shape
+                     WHEN 0 THEN '<' || pri || '>' || {d.fmt('stamp', 'rfc3164')} || ' ' || host || ' ' || app || '[' || pid || ']: ' || msg
+                     WHEN 1 THEN '<' || pri || '>' || {d.fmt('stamp', 'rfc3164')} || ' ' || host || ' ' || app || ': ' || msg
+                     WHEN 2 THEN '<' || pri || '>' || {d.fmt('stamp', 'rfc3164')} || ' ' || host || ' ' || msg
+                     WHEN 3 THEN '<' || pri || '>1 ' || {d.fmt('stamp', 'rfc3339')} || ' ' || host || ' ' || app || ' ' || pid || ' ' || msgid
+                                 || ' [ex@32473 user="' || msgid || '" path="a]b"][b@1 n="' || pid || '"] ' || msg
+                     WHEN 4 THEN '<' || pri || '>1 ' || {d.fmt('stamp', 'rfc3339')} || ' ' || host || ' ' || app || ' - - - ' || msg
+                     WHEN 5 THEN '<' || pri || '>1 - - - - - - ' || msg
+                     WHEN 6 THEN msg
+                     WHEN 7 THEN '<0' || pri || '>' || msg
+                     WHEN 8 THEN '<' || pri || '>yesterday at noon ' || msg
+                     ELSE '<' || pri || '>1 ' || {d.fmt('stamp', 'rfc3339')} || ' ' || host END AS line
+            FROM syslog_parts""",
+        # Messages in three grammars; the fourth is prose and must yield nothing.
+        "security_parts": f"""
+            SELECT event_id, 't' || (user_id % 5) AS tenant_id, 'c' || user_id AS resource_id, {d.stamp('ts')} AS observed_at,
+                   event_id % 4 AS shape, event_id % 5 AS topic,
+                   '10.0.' || (user_id % 250) || '.' || (event_id % 250) AS src, '203.0.113.' || (event_id % 250) AS dst,
+                   cast(1 + event_id % 1024 as string) AS port, 'user' || (user_id % 40) AS who,
+                   CASE WHEN value > 20 THEN 'Deny' ELSE 'accept' END AS act, CASE WHEN value > 20 THEN 'failure' ELSE 'SUCCESS' END AS res
+            FROM events""",
+        # Topics: 0 firewall, 1 sign-in, 2 resolver, 3 tunnel, 4 pairs that mean nothing here.
+        "security_lines": """
+            SELECT event_id, tenant_id, resource_id, observed_at, CASE WHEN topic = 3 THEN 'sslvpn' ELSE 'app' END AS service_name, 'info' AS severity,
+                   CASE shape
+                     WHEN 0 THEN CASE topic
+                       WHEN 0 THEN 'fw src=' || src || ' dst=' || dst || ' dpt=' || port || ' act=' || act || ' msg="two words" src=9.9.9.9'
+                       WHEN 1 THEN 'user=' || who || ' result=' || res || ' src-ip=' || src
+                       WHEN 2 THEN 'query=' || who || '.example rcode=NOERROR qtype=A'
+                       WHEN 3 THEN 'user=' || who || ' action=connect status=ok'
+                       ELSE 'a=1 b=2 c=' || port END
+                     WHEN 1 THEN 'CEF:0|Acme|FW|1.0|100|' || CASE topic WHEN 4 THEN '' ELSE 'Rule ' || chr(92) || '| ' || topic END || '|5|' || CASE topic
+                       WHEN 0 THEN 'src=' || src || ' dst=' || dst || ' act=' || act
+                       WHEN 1 THEN 'suser=' || who || ' outcome=' || res
+                       WHEN 2 THEN 'query=' || who || '.example'
+                       WHEN 3 THEN 'suser=' || who || ' act=logout'
+                       ELSE 'src=' || src || ' dst=' || dst || ' dpt=' || port || ' act=' || act END
+                     WHEN 2 THEN CASE topic
+                       WHEN 0 THEN '{"src":"' || src || '","dst":"' || dst || '","disposition":"' || act || '","deep":{"a":[1,2]}}'
+                       WHEN 1 THEN '{"username":"' || who || '","result":"' || res || '","n":' || port || '}'
+                       WHEN 2 THEN '{"qname":"' || who || '.example","rcode":"NXDOMAIN","ok":true}'
+                       WHEN 3 THEN '{"usr":"' || who || '","action":"start","x":null}'
+                       ELSE '{"src":"' || src || '","user":"' || who || '"}' END
+                     ELSE 'Started service=sshd for ' || who || ' on ' || src END AS body
+            FROM security_parts""",
+        "decoded_flows": f"""
+            SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 't' || (l_suppkey % 5) AS tenant_id, 's' || l_suppkey AS resource_id,
+                   cast(l_shipdate as timestamp) + (l_orderkey % 86400) * INTERVAL '1' SECOND AS exported_at,
+                   cast((l_orderkey * 1000003) % 4294967296 as bigint) AS header_uptime,
+                   cast(((l_orderkey * 1000003) % 4294967296 + 4294967296 - l_partkey * 100 - 5000) % 4294967296 as bigint) AS first_uptime,
+                   cast(((l_orderkey * 1000003) % 4294967296 + 4294967296 - l_partkey * 100) % 4294967296 as bigint) AS last_uptime,
+                   CASE WHEN l_linenumber % 2 = 0 THEN '::FFFF:10.0.0.' || (l_suppkey % 250) ELSE '10.0.0.' || (l_suppkey % 250) END AS src_address,
+                   CASE WHEN l_linenumber % 3 = 0 THEN '2001:DB8::' || (l_partkey % 99) ELSE '10.1.0.' || (l_partkey % 250) END AS dst_address,
+                   cast(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 64 END as bigint) AS sampling_rate
+            FROM lineitem""",
+        # Readings of four scalars and two interface columns of every device.
+        "readings": f"""
+            SELECT 't' || (user_id % 5) AS tenant_id, 'c' || user_id AS resource_id, {d.stamp('ts')} AS observed_at, value, event_id,
+                   CASE event_type WHEN 'error' THEN '1.3.6.1.2.1.1.3.0' WHEN 'click' THEN '1.3.6.1.2.1.2.2.1.10.' || (event_id % 4)
+                     WHEN 'view' THEN '1.3.6.1.2.1.2.2.1.16.' || (event_id % 4) || '.7' WHEN 'purchase' THEN '1.3.6.1.4.9' ELSE '1.3.6.1.2.1.99.' || (event_id % 3) END AS oid
+            FROM events""",
+        "macs": """
+            SELECT o_orderkey, 't' || (o_custkey % 5) AS tenant_id, 'c' || o_custkey AS resource_id,
+                   CASE o_orderkey % 6
+                     WHEN 0 THEN '00:1B:' || lpad(lower(hex(o_custkey % 256)), 2, '0') || ':' || lpad(lower(hex(o_orderkey % 256)), 2, '0') || ':01:02'
+                     WHEN 1 THEN '70b3.d5' || lpad(lower(hex(o_custkey % 256)), 2, '0') || '.' || lpad(lower(hex(o_orderkey % 65536)), 4, '0')
+                     WHEN 2 THEN '02-00-5e-00-00-' || lpad(lower(hex(o_orderkey % 256)), 2, '0')
+                     WHEN 3 THEN '0050c2' || lpad(lower(hex(o_orderkey % 16777216)), 6, '0')
+                     WHEN 4 THEN 'not a mac' ELSE '00:1b:00:00:00:0' END AS mac
+            FROM orders""",
+        # A registry made from the supplier list: blocks of 24, 28 and 36 bits.
+        "mac_registry": """
+            SELECT '001b' || lpad(lower(hex(s_suppkey)), 2, '0') AS prefix, s_name AS organisation FROM supplier WHERE s_suppkey < 256
+            UNION ALL SELECT '70b3d5', 'Small blocks' FROM region WHERE r_regionkey = 0
+            UNION ALL SELECT '70b3d5' || substr(lpad(lower(hex(s_suppkey % 16)), 1, '0'), 1, 1), 'Medium ' || s_suppkey FROM supplier WHERE s_suppkey < 8
+            UNION ALL SELECT '0050c2' || lpad(lower(hex(s_suppkey)), 3, '0'), 'Narrow ' || s_suppkey FROM supplier WHERE s_suppkey < 4096""",
         # --- inventory ---
         "resources": f"""
             SELECT 'c' || c_custkey AS id, 't' || (c_custkey % 5) AS tenant_id,
