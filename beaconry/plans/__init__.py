@@ -8,6 +8,7 @@ MODULES = (
     "sequences",
     "alerting",
     "ingest",
+    "inventory",
 )
 
 

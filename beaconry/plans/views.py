@@ -245,6 +245,55 @@ def _views(d: Dialect) -> dict[str, str]:
             UNION ALL SELECT '70b3d5', 'Small blocks' FROM region WHERE r_regionkey = 0
             UNION ALL SELECT '70b3d5' || substr(lpad(lower(hex(s_suppkey % 16)), 1, '0'), 1, 1), 'Medium ' || s_suppkey FROM supplier WHERE s_suppkey < 8
             UNION ALL SELECT '0050c2' || lpad(lower(hex(s_suppkey)), 3, '0'), 'Narrow ' || s_suppkey FROM supplier WHERE s_suppkey < 4096""",
+        # Neighbour tables of every supplier: three protocols, half the rows incomplete.
+        "neighbours": """
+            SELECT tenant_id, seen_from, place, CASE place % 3 WHEN 0 THEN 'lldp' WHEN 1 THEN 'cdp' ELSE 'arp' END AS protocol,
+                   CASE WHEN place % 3 < 2 THEN CASE (place // 3) % 4 WHEN 0 THEN 'CH' || x WHEN 1 THEN 'ch' || x END END AS chassis_id,
+                   CASE WHEN place % 3 < 2 AND (place // 12) % 3 <> 0 THEN CASE WHEN (place // 3) % 2 = 0 THEN 'supplier#' ELSE 'Supplier#' END || lpad(cast(x as string), 9, '0') END AS sys_name,
+                   CASE WHEN place % 3 = 2 OR (place // 5) % 2 = 0 THEN '10.20.' || (place % 200) || '.' || (x % 250) END AS address,
+                   CASE WHEN (place // 7) % 2 = 0 THEN 'model ' || (place % 9) END AS platform
+            FROM (SELECT 't' || (o_custkey % 5) AS tenant_id, 's' || (o_custkey % (SELECT count(*) FROM supplier)) AS seen_from, o_orderkey AS place,
+                    (o_custkey + 5 * (o_orderkey % 7)) % (SELECT count(*) FROM supplier) AS x FROM orders) AS placed""",
+        # Candidates as they were before the batch: those of the first half of the orders.
+        "stored_candidates": f"""
+            SELECT tenant_id, source || '|' || address || '|' AS fingerprint, max(sys_name) AS sys_name, max(mac) AS mac, max(source) AS source,
+                   max(address) AS address, cast(NULL as string) AS chassis_id, min(state) AS state, min(reason) AS reason,
+                   min(last_seen) AS first_seen, max(last_seen) AS last_seen
+            FROM candidates WHERE state <> 'unidentified' GROUP BY tenant_id, source || '|' || address || '|'""",
+        "interfaces": """
+            SELECT DISTINCT 't' || (l_suppkey % 5) AS tenant_id, 's' || l_suppkey AS parent_id, 'interface' AS kind, 'eth' || l_linenumber AS name,
+                   cast(l_linenumber as string) AS index, cast(l_linenumber as int) AS index_number,
+                   CASE WHEN l_linenumber % 2 = 1 THEN '00:1b:' || lpad(lower(hex((l_suppkey * 3 + l_linenumber) % 256)), 2, '0') || ':00:00:01' ELSE '02:00:00:00:00:01' END AS mac
+            FROM lineitem""",
+        "polled": """
+            SELECT 't' || (c_custkey % 5) AS tenant_id, 'c' || c_custkey AS resource_id, CASE WHEN c_custkey % 4 = 0 THEN 'polled' END AS vendor,
+                   CASE WHEN c_custkey % 3 = 0 THEN 'M' || (c_custkey % 9) END AS model, cast(NULL as string) AS os, '1.' || (c_custkey % 5) AS os_version,
+                   CASE WHEN c_custkey % 2 = 0 THEN 'SN' || c_custkey WHEN c_custkey % 7 = 0 THEN '' END AS serial FROM customer""",
+        # A sweep a month: every order is an address probed.
+        "sightings": """
+            SELECT 't' || (o_custkey % 5) AS tenant_id, 'run' || (o_orderkey % 24) AS run_id, 'o' || o_orderkey AS observation_id,
+                   CASE o_orderkey % 9 WHEN 0 THEN 'silent' WHEN 1 THEN 'refused' ELSE 'answered' END AS result,
+                   CASE WHEN o_orderkey % 5 <> 0 THEN 'dev' || o_custkey END AS sys_name, CASE WHEN o_orderkey % 10 = 5 THEN '1.3.6' END AS sys_object_id
+            FROM orders""",
+        "sweeps": """
+            SELECT 't' || (s_suppkey % 5) AS tenant_id, 'job' || s_suppkey AS job_id, '10.' || (s_suppkey % 200) || '.' || (s_suppkey % 7) || '.0/' || (26 + s_suppkey % 7) AS cidr FROM supplier
+            UNION ALL SELECT 't' || (s_suppkey % 5), 'job' || s_suppkey, '10.' || (s_suppkey % 200) || '.' || (s_suppkey % 7) || '.16/28' FROM supplier
+            UNION ALL SELECT 't' || (s_suppkey % 5), 'job' || s_suppkey, CASE s_suppkey % 4 WHEN 1 THEN '10.0.0.0/15' WHEN 2 THEN 'nonsense' ELSE '10.9.0.0/16' END FROM supplier WHERE s_suppkey % 4 <> 0""",
+        # Hops of a path to every order's address, three probes each, some lost.
+        "path_rows": """
+            SELECT 't' || (l_orderkey % 5) AS tenant_id, 'path' || l_orderkey AS target, cast(rn as int) AS number,
+                   CASE WHEN rn % 7 = 6 THEN NULL WHEN rn <= 2 THEN '10.0.0.' || rn WHEN rn = 3 THEN '100.64.1.1' ELSE '203.0.113.' || rn END AS address,
+                   CASE WHEN rn % 7 = 6 THEN NULL ELSE l_quantity END AS rtt_a, CASE WHEN (l_partkey + rn) % 3 = 0 OR rn % 7 = 6 THEN NULL ELSE l_quantity + 0.5 END AS rtt_b
+            FROM numbered_lines""",
+        "collectors": f"""
+            SELECT 'col' || c_custkey AS collector_id, CASE WHEN c_custkey % 2 = 0 THEN 'syslog' ELSE 'otlp' END AS kind, c_name AS name,
+                   c_custkey % 11 = 0 AS retired, CASE WHEN c_custkey % 7 <> 0 THEN {d.at(f'{day0} + c_custkey % 500')} END AS last_seen_at FROM customer""",
+        "evidence": """
+            SELECT o_orderkey, mac, CASE o_orderkey % 8 WHEN 0 THEN 'HP LaserJet printer' WHEN 1 THEN 'Linux box' WHEN 2 THEN 'Cisco Adaptive Security Appliance, IOS switch' END AS sys_descr,
+                   CASE (o_orderkey // 8) % 5 WHEN 0 THEN 'CAM-' || o_orderkey WHEN 1 THEN 'core-SW-1' WHEN 2 THEN 'printer' WHEN 3 THEN 'bob' END AS hostname,
+                   cast(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 300 END as int) AS ttl FROM macs""",
+        "makers": """
+            SELECT prefix, CASE WHEN prefix LIKE '001b0%' THEN 'Zebra Inc' WHEN prefix LIKE '0050c2%' THEN 'MikroTik' ELSE organisation END AS organisation FROM mac_registry""",
         # --- inventory ---
         "resources": f"""
             SELECT 'c' || c_custkey AS id, 't' || (c_custkey % 5) AS tenant_id,
