@@ -7,7 +7,7 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Longest window, in days; occurrences are looked for this far back (fixed values).
+# Longest window, in days (fixed values).
 MAX_DAYS = 7
 
 
@@ -55,7 +55,8 @@ def is_open(at: Column) -> Column:
         end = start + F.make_dt_interval(mins=F.col("duration_minutes"))
         return (day >= F.to_date(first)) & recurs & happens & (at >= start) & (at < end)
 
-    days = F.sequence(F.date_sub(today, MAX_DAYS + 1), today)
+    back = F.ceil(F.col("duration_minutes") / 1440).cast("int") + 1
+    days = F.sequence(F.date_sub(today, back), today)
     return (
         known
         & (at >= F.col("starts_at"))

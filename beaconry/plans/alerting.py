@@ -141,20 +141,26 @@ query(
 # --- maintenance ---
 
 # Occurrences enumerated by hand: Dhaka is six hours ahead all year.
-_OPEN = """WITH probes AS (SELECT DISTINCT date_trunc('hour', observed_at) AS probe FROM metrics),
-    placed AS (SELECT *, CASE WHEN timezone = 'Asia/Dhaka' THEN INTERVAL '6' HOUR ELSE INTERVAL '0' HOUR END AS shift FROM windows),
+_OPEN = """WITH placed AS (SELECT *, CASE WHEN timezone = 'Asia/Dhaka' THEN INTERVAL '6' HOUR ELSE INTERVAL '0' HOUR END AS shift FROM windows),
     days AS (SELECT p.*, cast(p.starts_at + p.shift as date) + cast(g.i as int) AS d FROM placed AS p, range(0, 120) AS g(i)),
     occur AS (SELECT tenant_id, window_id, target_kind, target_id, until, suppress_alerts, suppress_notifications,
         cast(d as timestamp) + ((starts_at + shift) - date_trunc('day', starts_at + shift)) - shift AS opens, duration_minutes FROM days
       WHERE CASE recurrence WHEN 'once' THEN d = cast(starts_at + shift as date) WHEN 'daily' THEN true
         WHEN 'weekly' THEN isodow(d) - 1 = weekday ELSE day(d) = day END)"""
-_PROBES = "SELECT DISTINCT date_trunc('hour', observed_at) AS probe FROM metrics"
+# Every metric sample taken while a window covered its device.
 query(
     "maintenance_open",
-    f"""{_OPEN} SELECT DISTINCT window_id, epoch_ms(probe) AS probe FROM occur JOIN probes
-        ON probe >= opens AND probe < opens + duration_minutes * INTERVAL '1' MINUTE AND (until IS NULL OR probe <= until)""",
+    f"""{_OPEN}, reach AS (SELECT window_id, tenant_id, target_id AS resource_id FROM windows WHERE target_kind = 'resource'
+        UNION ALL SELECT w.window_id, w.tenant_id, g.resource_id FROM windows AS w JOIN group_members AS g ON g.tenant_id = w.tenant_id AND g.group_id = w.target_id WHERE w.target_kind = 'group'
+        UNION ALL SELECT w.window_id, w.tenant_id, r.id FROM windows AS w JOIN resources AS r ON r.tenant_id = w.tenant_id AND r.site_id = w.target_id WHERE w.target_kind = 'site')
+        SELECT DISTINCT o.window_id, m.event_id FROM reach AS x JOIN occur AS o ON o.tenant_id = x.tenant_id AND o.window_id = x.window_id
+        JOIN metrics AS m ON m.tenant_id = x.tenant_id AND m.resource_id = x.resource_id
+        WHERE m.observed_at >= opens AND m.observed_at < opens + duration_minutes * INTERVAL '1' MINUTE AND (until IS NULL OR m.observed_at <= until)""",
 )(
-    lambda t: t.windows.crossJoin(t.sql(_PROBES)).where(maintenance.is_open(F.col("probe"))).select("window_id", "probe")
+    lambda t: maintenance.covered(t.windows, t.resources, t.group_members)
+    .join(t.metrics.select("tenant_id", "resource_id", "observed_at", "event_id"), ["tenant_id", "resource_id"])
+    .where(maintenance.is_open(F.col("observed_at")))
+    .select("window_id", "event_id")
 )
 _AT = "2024-01-06 15:00:00"
 _FLAGS = f"""{_OPEN}, open_now AS (SELECT DISTINCT tenant_id, target_kind, target_id, suppress_alerts, suppress_notifications FROM occur

@@ -167,24 +167,22 @@ query(
          array_to_string(CASE WHEN len(reasons) = 0 AND vendor IS NOT NULL THEN ['mac: the MAC is assigned to ' || vendor] ELSE reasons END, ';') AS reasons FROM said""",
 )(lambda t: devices.device_guess(t.evidence, t.makers).select("o_orderkey", "role", "confidence", "reasons"))
 
-_MERGED = """WITH lldp AS (SELECT * FROM neighbours WHERE protocol = 'lldp'), cdp AS (SELECT * FROM neighbours WHERE protocol = 'cdp'),
-    hit AS (SELECT c.tenant_id, c.seen_from, c.place, min(l.place) AS into_place FROM cdp AS c JOIN lldp AS l ON l.tenant_id = c.tenant_id AND l.seen_from = c.seen_from
-      AND (lower(l.chassis_id) = lower(c.chassis_id) OR ((l.chassis_id IS NULL OR c.chassis_id IS NULL) AND lower(l.sys_name) = lower(c.sys_name))) GROUP BY ALL),
-    loose AS (SELECT c.*, lower(c.chassis_id) AS ch, lower(c.sys_name) AS nm FROM cdp AS c WHERE NOT EXISTS (SELECT 1 FROM hit AS h WHERE h.tenant_id = c.tenant_id AND h.seen_from = c.seen_from AND h.place = c.place)),
-    named AS (SELECT tenant_id, seen_from, nm, min(place) AS first_place, arg_min(coalesce(ch, ''), place) AS first_ch FROM loose WHERE nm IS NOT NULL GROUP BY ALL),
-    chassis AS (SELECT tenant_id, seen_from, ch, min(place) AS first_place FROM loose WHERE ch IS NOT NULL GROUP BY ALL),
-    selfed AS (SELECT l.tenant_id, l.seen_from, l.place, least(l.place, coalesce(c.first_place, l.place),
-        coalesce(CASE WHEN l.ch IS NULL OR n.first_ch = '' THEN n.first_place END, l.place)) AS into_place FROM loose AS l
-      LEFT JOIN named AS n ON n.tenant_id = l.tenant_id AND n.seen_from = l.seen_from AND n.nm = l.nm
-      LEFT JOIN chassis AS c ON c.tenant_id = l.tenant_id AND c.seen_from = l.seen_from AND c.ch = l.ch),
-    groups_ AS (SELECT * FROM hit UNION ALL SELECT * FROM selfed),
-    filled AS (SELECT n.tenant_id, n.seen_from, n.protocol, n.place, n.chassis_id, n.sys_name,
-        coalesce(n.address, (SELECT arg_min(x.address, x.place) FROM groups_ AS g JOIN cdp AS x ON x.tenant_id = g.tenant_id AND x.seen_from = g.seen_from AND x.place = g.place
-          WHERE g.tenant_id = n.tenant_id AND g.seen_from = n.seen_from AND g.into_place = n.place AND x.address IS NOT NULL)) AS address,
-        coalesce(n.platform, (SELECT arg_min(x.platform, x.place) FROM groups_ AS g JOIN cdp AS x ON x.tenant_id = g.tenant_id AND x.seen_from = g.seen_from AND x.place = g.place
-          WHERE g.tenant_id = n.tenant_id AND g.seen_from = n.seen_from AND g.into_place = n.place AND x.platform IS NOT NULL)) AS platform
-      FROM neighbours AS n WHERE protocol = 'lldp' OR EXISTS (SELECT 1 FROM selfed AS s WHERE s.tenant_id = n.tenant_id AND s.seen_from = n.seen_from AND s.place = n.place AND s.into_place = n.place AND n.protocol = 'cdp')),
-    merged AS (SELECT * FROM filled WHERE address IS NOT NULL OR chassis_id IS NOT NULL
+# Row by row within each device, carrying the list of rows that stand.
+_MERGED = """WITH RECURSIVE turns AS (SELECT *, lower(chassis_id) AS ch, lower(sys_name) AS nm,
+        row_number() OVER (PARTITION BY tenant_id, seen_from ORDER BY protocol <> 'lldp', place) AS turn FROM neighbours WHERE protocol <> 'arp'),
+    walk AS (SELECT tenant_id, seen_from, turn, place, place AS into_place, [{'place': place, 'ch': ch, 'nm': nm}] AS stand FROM turns WHERE turn = 1
+      UNION ALL
+      SELECT tenant_id, seen_from, turn, place, coalesce(hit[1].place, place), CASE WHEN len(hit) = 0 THEN list_append(stand, {'place': place, 'ch': ch, 'nm': nm}) ELSE stand END
+      FROM (SELECT t.tenant_id, t.seen_from, t.turn, t.place, t.ch, t.nm, w.stand, CASE WHEN t.protocol = 'lldp' THEN [] ELSE list_filter(w.stand, lambda o:
+          CASE WHEN o.ch IS NOT NULL AND t.ch IS NOT NULL THEN o.ch = t.ch ELSE coalesce(o.nm = t.nm, false) END) END AS hit
+        FROM walk AS w JOIN turns AS t ON t.tenant_id = w.tenant_id AND t.seen_from = w.seen_from AND t.turn = w.turn + 1) AS stepped),
+    taken AS (SELECT w.tenant_id, w.seen_from, w.into_place, arg_min(t.address, t.place) FILTER (t.address IS NOT NULL) AS address,
+        arg_min(t.platform, t.place) FILTER (t.platform IS NOT NULL) AS platform FROM walk AS w
+      JOIN turns AS t ON t.tenant_id = w.tenant_id AND t.seen_from = w.seen_from AND t.place = w.place WHERE w.place <> w.into_place GROUP BY ALL),
+    merged AS (SELECT n.tenant_id, n.seen_from, n.protocol, n.place, n.chassis_id, n.sys_name, coalesce(n.address, k.address) AS address, coalesce(n.platform, k.platform) AS platform
+      FROM walk AS w JOIN neighbours AS n ON n.tenant_id = w.tenant_id AND n.seen_from = w.seen_from AND n.place = w.place
+      LEFT JOIN taken AS k ON k.tenant_id = w.tenant_id AND k.seen_from = w.seen_from AND k.into_place = w.place
+      WHERE w.place = w.into_place AND (coalesce(n.address, k.address) IS NOT NULL OR n.chassis_id IS NOT NULL)
       UNION ALL SELECT tenant_id, seen_from, protocol, place, chassis_id, sys_name, address, platform FROM neighbours WHERE protocol = 'arp' AND address IS NOT NULL)"""
 query("neighbour_merge", f"{_MERGED} SELECT * FROM merged")(lambda t: devices.neighbour_merge(t.neighbours))
 

@@ -224,12 +224,13 @@ for _f, _q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
 
 @query(
     "agg_quantiles_all",
-    "SELECT round(quantile_cont(duration_ns, 0.5), 0) AS p50, round(quantile_cont(duration_ns, 0.99), 6) AS p99, count(*) AS n FROM spans",
+    "SELECT round(quantile_cont(duration_ns, 0.5), 0) AS p50, round(quantile_cont(duration_ns, 0.99), 0) AS p99, count(*) AS n FROM spans",
 )
 def _(t):
-    return aggregate(
+    rows = aggregate(
         t.spans, {"p50": Agg("p50", "duration_ns"), "p99": Agg("p99", "duration_ns"), "n": Agg("count")}
     )
+    return rows.withColumns({q: F.round(q, 0) for q in ("p50", "p99")})
 
 
 @query(
@@ -374,7 +375,7 @@ def _(t):
     "service_latency",
     _top(
         """SELECT tenant_id, service_id, count(*) AS requests, sum(CASE WHEN status_code = 'error' THEN 1 ELSE 0 END) AS errors,
-           round(quantile_cont(duration_ns, 0.5), 0) AS p50, round(quantile_cont(duration_ns, 0.95), 6) AS p95,
+           round(quantile_cont(duration_ns, 0.5), 0) AS p50, round(quantile_cont(duration_ns, 0.95), 0) AS p95,
            round(quantile_cont(duration_ns, 0.99), 0) AS p99,
            round(sum(CASE WHEN status_code = 'error' THEN 1 ELSE 0 END) / count(*), 6) AS error_rate
            FROM spans GROUP BY ALL""",

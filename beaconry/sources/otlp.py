@@ -7,13 +7,29 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import maps
 
-# An attribute value is kept as its JSON text, since it may nest.
-_ATTRS = "ARRAY<STRUCT<key: STRING, value: STRING>>"
+# How deep a nested attribute value is read; deeper ones stay as JSON text (fixed values).
+NESTING = 3
+
+
+def _value(depth: int) -> str:
+    """The type of an attribute value that may hold others."""
+    scalars = "stringValue: STRING, boolValue: STRING, intValue: STRING, doubleValue: STRING, bytesValue: STRING"
+    if depth == 0:
+        return f"STRUCT<{scalars}, arrayValue: STRING, kvlistValue: STRING>"
+    inner = _value(depth - 1)
+    return (
+        f"STRUCT<{scalars}, arrayValue: STRUCT<values: ARRAY<{inner}>>, "
+        f"kvlistValue: STRUCT<values: ARRAY<STRUCT<key: STRING, value: {inner}>>>>"
+    )
+
+
+_ANY = _value(NESTING)
+_ATTRS = f"ARRAY<STRUCT<key: STRING, value: {_ANY}>>"
 _RESOURCE = f"resource: STRUCT<attributes: {_ATTRS}>"
 _SCOPE = "scope: STRUCT<name: STRING>"
 _POINT = f"STRUCT<timeUnixNano: STRING, asDouble: DOUBLE, asInt: STRING, attributes: {_ATTRS}>"
 LOGS = f"""resourceLogs ARRAY<STRUCT<{_RESOURCE}, scopeLogs: ARRAY<STRUCT<{_SCOPE}, logRecords: ARRAY<STRUCT<
-    timeUnixNano: STRING, observedTimeUnixNano: STRING, severityNumber: INT, severityText: STRING, body: STRING,
+    timeUnixNano: STRING, observedTimeUnixNano: STRING, severityNumber: INT, severityText: STRING, body: {_ANY},
     attributes: {_ATTRS}, traceId: STRING, spanId: STRING>>>>>>"""
 METRICS = f"""resourceMetrics ARRAY<STRUCT<{_RESOURCE}, scopeMetrics: ARRAY<STRUCT<{_SCOPE}, metrics: ARRAY<STRUCT<
     name: STRING, unit: STRING, gauge: STRUCT<dataPoints: ARRAY<{_POINT}>>,
@@ -31,30 +47,30 @@ SEVERITY_BANDS = (
 KINDS = {2: "server", 3: "client", 4: "producer", 5: "consumer"}
 STATUSES = {1: "ok", 2: "error"}
 
-# How deep a nested attribute value is rendered (fixed values).
-NESTING = 3
-
 
 def flatten(value: Column, depth: int = NESTING) -> Column:
-    """An attribute value, given as its JSON text, as one string."""
-    field = lambda name: F.get_json_object(value, f"$.{name}")
+    """An attribute value as one string; lists in brackets, nested attributes in braces."""
     scalar = F.coalesce(
-        field("stringValue"),
-        field("boolValue"),
-        field("intValue"),
-        F.regexp_replace(field("doubleValue"), r"\.0$", ""),
-        F.lower(F.hex(F.unbase64(field("bytesValue")))),
+        value.stringValue,
+        value.boolValue,
+        value.intValue,
+        F.regexp_replace(value.doubleValue, r"\.0$", ""),
+        F.lower(F.hex(F.unbase64(value.bytesValue))),
+    )
+    if depth == 0:
+        return F.coalesce(scalar, value.arrayValue, value.kvlistValue, F.lit(""))
+    items = F.transform(F.coalesce(value.arrayValue.values, F.array()), lambda v: flatten(v, depth - 1))
+    pairs = F.transform(
+        F.coalesce(value.kvlistValue.values, F.array()),
+        lambda e: F.concat(e.key, F.lit("="), flatten(e.value, depth - 1)),
+    )
+    bracketed = lambda left, parts, right: F.concat(F.lit(left), F.array_join(parts, ","), F.lit(right))
+    return F.coalesce(
+        scalar,
+        F.when(value.arrayValue.isNotNull(), bracketed("[", items, "]")),
+        F.when(value.kvlistValue.isNotNull(), bracketed("{", pairs, "}")),
+        F.lit(""),
     )
-    if depth > 0:
-        items = F.from_json(F.coalesce(field("arrayValue.values"), F.when(field("arrayValue").isNotNull(), "[]")), "array<string>")
-        listed = F.concat(F.lit("["), F.array_join(F.transform(items, lambda v: flatten(v, depth - 1)), ","), F.lit("]"))
-        pairs = F.from_json(
-            F.coalesce(field("kvlistValue.values"), F.when(field("kvlistValue").isNotNull(), "[]")),
-            "array<struct<key:string,value:string>>",
-        )
-        named = F.transform(pairs, lambda e: F.concat(e.key, F.lit("="), flatten(e.value, depth - 1)))
-        scalar = F.coalesce(scalar, listed, F.concat(F.lit("{"), F.array_join(named, ","), F.lit("}")))
-    return F.coalesce(scalar, F.lit(""))
 
 
 def attributes(pairs: Column) -> Column:
