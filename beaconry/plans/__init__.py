@@ -9,6 +9,7 @@ MODULES = (
     "alerting",
     "ingest",
     "inventory",
+    "streams",
 )
 
 

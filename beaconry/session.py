@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +34,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the checkpoint folder so an iterative plan does not grow.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a local session
-    without that setting gets a folder of its own.
+    It is the one the cluster names in `spark.checkpoint.dir`. Only a local session without that
+    setting gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,4 +48,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
             folder = tempfile.mkdtemp(prefix="beaconry-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the checkpoint folder so an iterative plan does not grow."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for a stream's output and progress."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
