@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from beaconry.functions.binding import let
+
 STRING_MAP = "map<string,string>"
 
 
@@ -15,9 +17,13 @@ def entries(keys: Column, values: Column) -> Column:
 
 def first_wins(pairs: Column) -> Column:
     """A map from (key, value) structs in which the first of a repeated key is kept."""
-    keys = F.transform(pairs, lambda e: e.key)
-    kept = F.filter(pairs, lambda e, i: F.array_position(keys, e.key) == i + 1)
-    return F.map_from_entries(kept)
+
+    def kept(p: Column, keys: Column) -> Column:
+        return F.filter(p, lambda e, i: F.array_position(keys, e.key) == i + 1)
+
+    return let(
+        pairs, lambda p: let(F.transform(p, lambda e: e.key), lambda keys: F.map_from_entries(kept(p, keys)))
+    )
 
 
 def last_wins(pairs: Column) -> Column:
@@ -26,8 +32,9 @@ def last_wins(pairs: Column) -> Column:
 
 def merge(under: Column, over: Column) -> Column:
     """Both maps, with `over` winning where they share a key."""
-    rest = F.map_filter(under, lambda k, v: ~F.map_contains_key(over, k))
-    return F.map_concat(rest, over)
+    return let(
+        over, lambda o: F.map_concat(F.map_filter(under, lambda k, v: ~F.map_contains_key(o, k)), o)
+    )
 
 
 def of(pairs: dict[str, Column]) -> Column:

@@ -7,6 +7,8 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from beaconry.functions.binding import let
+
 # Longest window, in days (fixed values).
 MAX_DAYS = 7
 
@@ -37,31 +39,37 @@ def is_open(at: Column) -> Column:
     known = known_zone(F.col("timezone"))
     zone = F.when(known, F.col("timezone")).otherwise("UTC")
     first = F.from_utc_timestamp("starts_at", zone)
-    second_of_day = F.pmod(F.unix_seconds(first), F.lit(86_400))
-    today = F.to_date(F.from_utc_timestamp(at, zone))
+    local = F.struct(
+        zone.alias("zone"), F.to_date(first).alias("first"),
+        F.pmod(F.unix_seconds(first), F.lit(86_400)).alias("second"),
+        F.to_date(F.from_utc_timestamp(at, zone)).alias("today"),
+    )
 
-    def covers(day: Column) -> Column:
-        local = F.timestamp_seconds(F.unix_date(day) * 86_400 + second_of_day)
-        start = F.to_utc_timestamp(local, zone)
+    def covers(day: Column, here: Column) -> Column:
         recurs = (
-            F.when(F.col("recurrence") == "once", day == F.to_date(first))
+            F.when(F.col("recurrence") == "once", day == here.first)
             .when(F.col("recurrence") == "daily", F.lit(True))
             # Monday is 0.
             .when(F.col("recurrence") == "weekly", F.weekday(day) == F.col("weekday"))
             .when(F.col("recurrence") == "monthly", F.dayofmonth(day) == F.col("day"))
             .otherwise(False)
         )
-        happens = F.from_utc_timestamp(start, zone) == local
+        wanted = F.timestamp_seconds(F.unix_date(day) * 86_400 + here.second)
+        start = F.to_utc_timestamp(wanted, here.zone)
+        happens = F.from_utc_timestamp(start, here.zone) == wanted
         end = start + F.make_dt_interval(mins=F.col("duration_minutes"))
-        return (day >= F.to_date(first)) & recurs & happens & (at >= start) & (at < end)
+        return (day >= here.first) & recurs & happens & (at >= start) & (at < end)
 
     back = F.ceil(F.col("duration_minutes") / 1440).cast("int") + 1
-    days = F.sequence(F.date_sub(today, back), today)
+
+    def occurs(here: Column) -> Column:
+        return F.exists(F.sequence(F.date_sub(here.today, back), here.today), lambda day: covers(day, here))
+
     return (
         known
         & (at >= F.col("starts_at"))
         & F.coalesce(at <= F.col("until"), F.lit(True))
-        & F.exists(days, covers)
+        & let(local, occurs)
     )
 
 

@@ -95,15 +95,13 @@ query(
     f"""{_RATES} SELECT event_id, CASE WHEN pt IS NULL THEN NULL WHEN observed_at <= pt THEN 'no_time' WHEN value >= pv THEN 'rate'
         WHEN epoch_ms(observed_at) - epoch_ms(pt) < 7200000 THEN 'wrapped' ELSE 'reset' END AS step FROM rated""",
 )(lambda t: rates.counter_step_class(t.counters, 32, 3600, tie=["event_id"]).select("event_id", "step"))
-query(
-    "state_transitions",
-    """WITH lagged AS (SELECT s.*, coalesce(lag(s.current_status) OVER (PARTITION BY s.tenant_id, s.resource_id ORDER BY s.observed_at, s.o_orderkey),
-         r.status, 'unknown') AS was FROM states AS s LEFT JOIN resources AS r ON r.tenant_id = s.tenant_id AND r.id = s.resource_id)
-       SELECT o_orderkey, was AS previous_status, current_status, CASE WHEN current_status = 'up' THEN 'info' ELSE 'error' END AS severity
-       FROM lagged WHERE was <> current_status AND was NOT IN ('maintenance', 'decommissioned')""",
-)(
+_TRANSITIONS = """WITH lagged AS (SELECT s.o_orderkey AS reading_id, s.current_status, coalesce(lag(s.current_status) OVER (PARTITION BY s.tenant_id, s.resource_id ORDER BY s.observed_at, s.o_orderkey),
+      r.status, 'unknown') AS was FROM states AS s LEFT JOIN resources AS r ON r.tenant_id = s.tenant_id AND r.id = s.resource_id)
+    SELECT reading_id, was AS previous_status, current_status, CASE WHEN current_status = 'up' THEN 'info' ELSE 'error' END AS severity
+    FROM lagged WHERE was <> current_status AND was NOT IN ('maintenance', 'decommissioned')"""
+query("state_transitions", _TRANSITIONS)(
     lambda t: rates.state_transitions(t.states, t.resources, tie=["o_orderkey"], slice_seconds=86400 * 30).select(
-        "o_orderkey", "previous_status", "current_status", "severity"
+        F.col("o_orderkey").alias("reading_id"), "previous_status", "current_status", "severity"
     )
 )
 query(

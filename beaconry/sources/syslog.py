@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.functions import maps
+from beaconry.functions.binding import let
 from beaconry.functions.staging import stage
 from beaconry.schemas import NIL_ID
 
@@ -35,18 +36,21 @@ def _elements(text: Column) -> Column:
 
     def params(element: Column) -> Column:
         inner = F.substr(element, F.lit(2), F.length(element) - 2)
-        name = F.regexp_extract(inner, r"(?s)^([^ ]*)", 1)
+        return let(F.regexp_extract(inner, r"(?s)^([^ ]*)", 1), lambda name: named(name, inner))
+
+    def named(name: Column, inner: Column) -> Column:
         rest = F.substr(inner, F.length(name) + 1)
-        names = F.regexp_extract_all(rest, F.lit(PARAM), F.lit(1))
+        keys = F.transform(
+            F.regexp_extract_all(rest, F.lit(PARAM), F.lit(1)), lambda k: F.concat(name, F.lit("."), k)
+        )
         values = F.transform(
             F.regexp_extract_all(rest, F.lit(PARAM), F.lit(2)),
             lambda v: F.regexp_replace(v, r'\\(["\\\]])', "$1"),
         )
-        found = F.filter(maps.entries(names, values), lambda e: e.key != "")
-        named = F.transform(
-            found, lambda e: F.struct(F.concat(name, F.lit("."), e.key).alias("key"), e.value.alias("value"))
+        # Neither an element nor a parameter without a name is kept.
+        return F.filter(
+            maps.entries(keys, values), lambda e: (name != "") & (F.length(e.key) > F.length(name) + 1)
         )
-        return F.when(name != "", named).otherwise(F.slice(named, 1, 0))
 
     return maps.last_wins(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ELEMENT), F.lit(0)), params)))
 
