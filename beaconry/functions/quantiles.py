@@ -77,7 +77,12 @@ def exact_quantiles(
             F.filter(ranks, lambda r: (r.rank >= F.col("_before")) & (r.rank < F.col("_upto"))),
         )
         .where(F.size("_wanted") > 0)
-        .select(*by, "_band", "_before", *totals, "_wanted")
+        .select(*(F.col(k).alias(f"_r_{k}") for k in [*by, "_band"]), "_before", *totals, "_wanted")
+    )
+    # Null-safe, so that a null key is a group; it also leaves `counts` the same in both its uses,
+    # which lets Spark compute it once.
+    same_band = reduce(
+        lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in [*by, "_band"])
     )
     in_band = (
         Window.partitionBy(*by, "_band")
@@ -85,7 +90,7 @@ def exact_quantiles(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     hits = (
-        counts.join(bands, [*by, "_band"])
+        counts.join(bands, same_band)
         .withColumn("_end", F.col("_before") + F.sum("_n").over(in_band))
         .withColumn("_start", F.col("_end") - F.col("_n"))
         .withColumn(

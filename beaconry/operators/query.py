@@ -169,15 +169,6 @@ def tail(
     return rows.orderBy(F.col("observed_at").desc(), *tie).limit(clamp_limit(limit, MAX_TAIL))
 
 
-def recent(
-    df: DataFrame, tenant: str | None, limit: int, where: Column | None = None,
-    tie: Sequence[str] = ("resource_id",), resources: DataFrame | None = None,
-) -> DataFrame:
-    """The newest `limit` rows that match."""
-    rows = read(df, tenant, where=where, resources=resources)
-    return rows.orderBy(F.col("observed_at").desc(), *tie).limit(clamp_limit(limit))
-
-
 def field_counts(df: DataFrame, field: Column | str, top: int = 8) -> DataFrame:
     """How often each value of one field occurs, most frequent first."""
     return (

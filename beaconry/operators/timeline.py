@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.functions.predicates import moment
 from beaconry.functions.series import first_per_group
 from beaconry.operators.query import read
 from beaconry.schemas import RETENTION_DAYS
@@ -105,6 +104,3 @@ def around(at: Column, minutes: int = 5) -> tuple[Column, Column]:
     """The window a link out of an incident opens: some minutes either side of a moment."""
     span = F.make_dt_interval(mins=F.lit(minutes))
     return at - span, at + span
-
-
-__all__ = ["around", "coverage", "coverage_table", "incident_timeline", "moment", "timeline"]

@@ -29,10 +29,10 @@ _FIELDS = [
 ]
 
 query("parse_syslog", _PARSED)(lambda t: syslog.parse_syslog(t.syslog_lines).select(*_FIELDS))
-query("parse_syslog_3164", f"SELECT * FROM ({_PARSED}) WHERE event_id % 10 IN (0, 1, 2, 8)")(
+query("parse_syslog_3164", f"{_PARSED} WHERE shape IN (0, 1, 2, 8)")(
     lambda t: syslog.parse_syslog(t.syslog_lines.where("NOT line RLIKE '^<[0-9]+>[1-9] ' AND line RLIKE '^<(0|[1-9][0-9]{0,2})>'")).select(*_FIELDS)
 )
-query("parse_syslog_5424", f"SELECT * FROM ({_PARSED}) WHERE event_id % 10 IN (3, 4, 5, 9)")(
+query("parse_syslog_5424", f"{_PARSED} WHERE shape IN (3, 4, 5, 9)")(
     lambda t: syslog.parse_syslog(t.syslog_lines.where("line RLIKE '^<[0-9]+>[1-9] '")).select(*_FIELDS)
 )
 query(
