@@ -565,3 +565,14 @@ def test_polls_deliver_each_row_once(spark):
         assert not skipped
         seen += [r.i for r in page.collect()]
     assert sorted(seen) == list(range(100))
+
+
+# --- streams give what batches give ---
+
+
+def test_streamed_incidents_match_batch(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    got, want = (rows(entry.queries()[n](spark, folder), "tenant_id", "event_id", "incident_id", "joined", "notify", "reason") for n in ("stream_incidents", "incident_group"))
+    assert got == want
