@@ -16,8 +16,9 @@ from beaconry.operators.query import read
 # Rows of a top list (fixed values).
 TOP_TALKERS, TOP_SERVICES, TOP_ROWS = 25, 25, 50
 
-FAILED_SIGN_IN = (F.col("event_category") == "authentication") & (F.col("event_type") == "failure")
-DENIED = (F.col("event_category") == "network") & (F.col("event_type") == "denied")
+
+def _is(category: str, kind: str) -> Column:
+    return (F.col("event_category") == category) & (F.col("event_type") == kind)
 
 
 def top_per_tenant(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -65,7 +66,7 @@ def auth_failures(events: DataFrame, tenant: str | None, by: str, limit: int = T
     fields = {"source": "source.ip", "user": "user.name"}
     other = "user" if by == "source" else "source"
     totals = (
-        read(events, tenant, where=FAILED_SIGN_IN, **window)
+        read(events, tenant, where=_is("authentication", "failure"), **window)
         .groupBy("tenant_id", attr("attributes", fields[by]).alias(by))
         .agg(
             F.count(F.lit(1)).alias("failures"),
@@ -94,7 +95,7 @@ def recent_events(events: DataFrame, tenant: str | None, category: str | None =
 
 def denials_for(events: DataFrame, resources: DataFrame, limit: int = TOP_ROWS, tie: str = "summary", **window) -> DataFrame:
     """The newest network denials of each resource in a set."""
-    rows = read(events, None, where=DENIED, resources=resources, **window)
+    rows = read(events, None, where=_is("network", "denied"), resources=resources, **window)
     return first_per_group(
         rows, ["tenant_id", "resource_id"], [F.col("observed_at").desc(), F.col(tie)], limit
     )

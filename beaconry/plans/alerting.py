@@ -8,7 +8,11 @@ from beaconry.operators import alerts, correlate, incidents, maintenance
 from beaconry.plans.registry import query
 
 _NOW = "2024-01-20 12:00:00"
-NOW = F.lit(_NOW).cast("timestamp")
+
+
+def now():
+    return F.lit(_NOW).cast("timestamp")
+
 
 # Rules with a window each: a day, a week or thirty seconds, which is read as a minute.
 _SPANS = """SELECT *, cast(CASE WHEN tenant_id = 't1' THEN 86400 WHEN tenant_id = 't2' THEN 30 ELSE 604800 END as bigint) AS span_seconds,
@@ -23,7 +27,7 @@ query(
         GROUP BY ALL""",
 )(
     lambda t: alerts.threshold_values(
-        t.metrics, t.sql(_SPANS), NOW, match=["metric"], func="avg", field="value", longest_seconds=604800
+        t.metrics, t.sql(_SPANS), now(), match=["metric"], func="avg", field="value", longest_seconds=604800
     )
     .join(t.rules.select("tenant_id", "rule_id", "op", "threshold"), ["tenant_id", "rule_id"])
     .withColumn("breaching", alerts.holds("value", "op", "threshold"))
@@ -36,7 +40,7 @@ query(
         FROM metrics AS m JOIN spans_ AS r ON r.tenant_id = m.tenant_id
         WHERE observed_at < TIMESTAMP '{_NOW}' AND observed_at >= TIMESTAMP '{_NOW}' - greatest(span_seconds, 60) * INTERVAL '1' SECOND
         GROUP BY m.tenant_id, rule_id, resource_id, m.metric""",
-)(lambda t: alerts.threshold_values(t.metrics, t.sql(_SPANS), NOW, labels={"kind": F.col("metric")}, longest_seconds=604800))
+)(lambda t: alerts.threshold_values(t.metrics, t.sql(_SPANS), now(), labels={"kind": F.col("metric")}, longest_seconds=604800))
 
 # Every rule expects every host of its tenant that is in service.
 _EXPECTED = """SELECT r.tenant_id, r.rule_id, d.id AS resource_id FROM rules AS r JOIN resources AS d ON d.tenant_id = r.tenant_id
@@ -51,7 +55,7 @@ query(
         aged AS (SELECT *, CASE WHEN last IS NULL THEN greatest(after_seconds, 60) + 1
           ELSE (epoch_ms(TIMESTAMP '{_NOW}') - epoch_ms(last)) / 1000 END AS value FROM heard)
         SELECT tenant_id, rule_id, resource_id, round(value, 6) AS value, value > after_seconds AS breaching FROM aged""",
-)(lambda t: alerts.absence_values(t.metrics, t.sql(_SPANS), t.sql(_EXPECTED), NOW))
+)(lambda t: alerts.absence_values(t.metrics, t.sql(_SPANS), t.sql(_EXPECTED), now()))
 
 _CASES = """SELECT event_id, value, op, 12.31 AS bound FROM metrics CROSS JOIN (SELECT 'gt' AS op UNION ALL SELECT 'gte'
     UNION ALL SELECT 'lt' UNION ALL SELECT 'lte' UNION ALL SELECT 'eq' UNION ALL SELECT 'ne') AS ops"""
@@ -273,7 +277,7 @@ query(
           CASE WHEN i.state = 'open' AND l.incident_id IS NULL THEN epoch_ms(TIMESTAMP '{_NOW}') END AS quiet_at
         FROM incidents AS i LEFT JOIN live AS l ON l.tenant_id = i.tenant_id AND l.incident_id = i.incident_id""",
 )(
-    lambda t: incidents.incident_quiet(t.incidents, t.incident_alerts, t.alert_states, NOW).select(
+    lambda t: incidents.incident_quiet(t.incidents, t.incident_alerts, t.alert_states, now()).select(
         "tenant_id", "incident_id", "state", "quiet_at"
     )
 )

@@ -127,11 +127,18 @@ query(
 # --- timelines ---
 
 _START, _END, _NOW = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 9)
-_TIES = {
-    "states": F.col("o_orderkey").cast("string"), "events": F.lpad(F.col("event_id").cast("string"), 12, "0"),
-    "logs": F.lpad(F.col("doc_id").cast("string"), 12, "0"), "metrics": F.lpad(F.col("event_id").cast("string"), 12, "0"),
-    "flows": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "spans": F.col("span_id"),
-}
+
+
+def _ties():
+    """What orders rows of one instant."""
+    padded = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    return {
+        "states": F.col("o_orderkey").cast("string"), "events": padded("event_id"), "logs": padded("doc_id"),
+        "metrics": padded("event_id"), "flows": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+        "spans": F.col("span_id"),
+    }
+
+
 _SIGNALS = {"states": "states", "events": "platform_events", "logs": "logs", "metrics": "metrics", "flows": "flows", "spans": "spans"}
 _SQL_TRACK = {
     # Spans and flows are kept for seven days, so only what began on 2 January or later is left.
@@ -157,7 +164,7 @@ def _tracks() -> str:
 @query("timeline", f"WITH up AS ({_UP}) SELECT * FROM ({_tracks()})")
 def _(t):
     signals = {s: getattr(t, v) for s, v in _SIGNALS.items()}
-    return timeline.timeline(signals, t.sql(_UP), _START, _END, _NOW, _TIES).drop("text")
+    return timeline.timeline(signals, t.sql(_UP), _START, _END, _NOW, _ties()).drop("text")
 
 
 # An incident per tenant and site, over the devices that are up there.
@@ -183,7 +190,7 @@ def _incident_tracks() -> str:
 )
 def _(t):
     signals = {s: getattr(t, v) for s, v in _SIGNALS.items()}
-    return timeline.incident_timeline(t.sql(_INCIDENTS), t.sql(_MEMBERS), signals, _TIES).drop("text")
+    return timeline.incident_timeline(t.sql(_INCIDENTS), t.sql(_MEMBERS), signals, _ties()).drop("text")
 
 
 # --- traces ---
