@@ -113,13 +113,14 @@ def with_shape(df: DataFrame, body: str = "body", structured: str | None = None)
     CEF comes before key=value because its extension is key=value.
     """
     text = F.col(body)
+    staged = stage(df, {"_cef": cef_fields(text), "_json": json_fields(text)})
+    # Only what neither of those fits is searched for pairs.
+    rest = F.col("_cef").isNull() & F.col("_json").isNull()
     staged = stage(
-        df,
+        staged,
         {
-            "_cef": cef_fields(text),
-            "_json": json_fields(text),
-            "_kv": _enough(key_values(text)),
-            "_sd": structured_fields(F.col(structured)) if structured else F.lit(None).cast(maps.STRING_MAP),
+            "_kv": F.when(rest & text.contains("="), _enough(key_values(text))),
+            "_sd": F.when(rest, structured_fields(F.col(structured))) if structured else F.lit(None).cast(maps.STRING_MAP),
         },
     )
     return staged.select(
