@@ -33,15 +33,18 @@ def plain_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def sampled(rows: DataFrame, group: str, most: int, key: str) -> DataFrame:
-    """About `most` rows of each value of `group` (fewer where there are fewer), chosen by a hash of `key`.
+def sampled(rows: DataFrame, most: int, key: str, group: str | None = None) -> DataFrame:
+    """About `most` rows (or as many of each value of `group`), chosen by a hash of `key`; all where there are fewer.
 
-    The values of `group` must be few (classes, languages); their counts are aggregated and come
-    back as a table with one row for each.
+    The values of `group` must be few, such as languages: their counts come back as a row for each.
     """
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    counts = rows.groupBy(group).agg((F.lit(float(most)) / F.count(F.lit(1))).alias("_share"))
-    return rows.join(F.broadcast(counts), group).where(share < F.col("_share")).drop("_share")
+    kept = F.try_divide(F.lit(float(most)), F.count(F.lit(1))).alias("_share")
+    if group is None:
+        chosen = rows.crossJoin(F.broadcast(rows.agg(kept)))  # one row
+    else:
+        chosen = rows.join(F.broadcast(rows.groupBy(group).agg(kept)), group)
+    return chosen.where(share < F.col("_share")).drop("_share")
 
 
 def slices(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -101,7 +101,7 @@ def near_vectors(
         (F.size(values) > 0) & F.forall(numbers, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
         & F.exists(numbers, lambda v: v != 0) & F.col(label).isNotNull(), F.lit(False),
     )
-    base = rows.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(label).alias("label"), numbers.alias("vector"), sound.alias("sound"))
+    base = rows.select(F.col(key).cast("bigint").alias("key"), F.col(label).alias("label"), numbers.alias("vector"), sound.alias("sound"))
     classes = stored(
         base.where("sound").groupBy("label", "vector").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("copies"))
         .withColumn("size", F.size("vector")).where(F.col("id").isNotNull()),

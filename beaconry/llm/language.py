@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 from beaconry.llm.learned import fit, scored
 
 #: Places that n-grams are hashed to (a power of two), and documents of each language that are learned from.
-PLACES, DOCUMENTS = 1 << 15, 1500
+PLACES, DOCUMENTS = 1 << 14, 800
 #: Bytes of an n-gram.
-ORDERS = (2, 3, 4)
+ORDERS = (2, 4)
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 KIND = T.StructType(
@@ -56,7 +56,7 @@ def grams(text: str | None) -> np.ndarray:
             for i in range(n):
                 mixed = (mixed * np.uint32(0x01000193)) ^ a[i : len(a) - n + 1 + i]
             mixed *= np.uint32(0x9E3779B1)
-            out.append(mixed >> np.uint32(17))
+            out.append(mixed >> np.uint32(18))
     return np.concatenate(out)
 
 
@@ -65,7 +65,11 @@ def train(texts: list[str], langs: list[str], rounds: int = 8, rate: float = 0.5
     names = sorted(set(langs))
     code = codewords(len(names))
     signs = code[[names.index(x) for x in langs]]
-    held = [grams(t).astype(np.uint16) for t in texts]
+    held = []
+    for t in texts:
+        found = grams(t)
+        at, n = np.unique(found, return_counts=True)
+        held.append((at, (n / len(found)).astype(np.float32)))
     share = np.array([1 / langs.count(x) for x in names])[[names.index(x) for x in langs]]
     share *= len(langs) / share.sum()
     weight, past = np.zeros((PLACES, code.shape[1]), dtype=np.float32), np.full((PLACES, code.shape[1]), 1e-6, dtype=np.float32)
@@ -73,9 +77,11 @@ def train(texts: list[str], langs: list[str], rounds: int = 8, rate: float = 0.5
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         for some in np.array_split(order.permutation(len(held)), max(1, len(held) // 64)):
-            x = np.stack([np.bincount(held[d], minlength=PLACES) / len(held[d]) for d in some]).astype(np.float32)
+            x = np.zeros((len(some), PLACES), dtype=np.float32)
+            for i, d in enumerate(some):
+                x[i, held[d][0]] = held[d][1]
             pull = signs[some] / (1 + np.exp(signs[some] * (x @ weight + bias))) * share[some][:, None]
-            step = (x.T @ pull / len(some)).astype(np.float32)
+            step = x.T @ (pull / len(some)).astype(np.float32)
             past += step**2
             weight += rate * step / np.sqrt(past)
             bias += 0.1 * pull.mean(axis=0)
@@ -97,10 +103,7 @@ class Scorer:
                 out.append({"lang": "und", "score": 0.0, "ambiguous": True})
                 continue
             at = grams(t)
-            total = np.zeros(self.code.shape[1])
-            for a in range(0, len(at), 1 << 16):
-                total += self.weight[at[a : a + (1 << 16)]].sum(axis=0, dtype=np.float64)
-            margin = total / len(at) + self.bias
+            margin = np.bincount(at, minlength=PLACES).astype(np.float32) @ self.weight / len(at) + self.bias
             # The loss of a codeword weighs each bit by how surely its classifier speaks against it.
             loss = np.logaddexp(0, -self.code * margin).sum(axis=1)
             near = np.exp(loss.min() - loss)

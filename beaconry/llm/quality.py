@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from beaconry.llm.learned import fit, scored
 
-#: Places that n-grams are hashed to, documents of each class that are learned from, and words kept by a worker.
-PLACES, DOCUMENTS, KEPT = 1 << 20, 6000, 500_000
+#: Places that n-grams are hashed to, documents that are learned from, and words kept by a worker.
+PLACES, DOCUMENTS, KEPT = 1 << 20, 12_000, 500_000
 
 _TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^\x00-\x20a-z0-9\x80-\xff]+").findall
 KIND = T.StructType([T.StructField("score", T.DoubleType())])
@@ -28,8 +28,8 @@ class _Hashes(dict):
         return value
 
 
-def features(text: str | None, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct places of words and of pairs of neighbours, and their values: a vector of length one.
+def grams(text: str | None, hashes: dict) -> np.ndarray:
+    """Places of all words and of all pairs of neighbours.
 
     Two equal neighbours are one feature whatever the word; so is the text's beginning.
     """
@@ -39,15 +39,19 @@ def features(text: str | None, hashes: dict) -> tuple[np.ndarray, np.ndarray]:
     one[1:] = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     pair = (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (one[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
     pair[one[:-1] == one[1:]] = 2
-    places, n = np.unique((np.concatenate([one, pair]) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(44), return_counts=True)
-    value = np.sqrt(n.astype(np.float64))
-    return places.astype(np.int64), value / np.linalg.norm(value)
+    return (np.concatenate([one, pair]) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
+
+
+def sparse(places: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places and their values: roots of counts, so that all values of a text make a vector of length one."""
+    at, n = np.unique(places, return_counts=True)
+    return at, np.sqrt(n / total)
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.05, seed: int = 1) -> bytes:
     """FTRL-proximal: a weight leaves zero only when its summed gradients exceed `l1`."""
     hashes = _Hashes()
-    held = [features(t, hashes) for t in texts]
+    held = [sparse(g, len(g)) for g in (grams(t, hashes) for t in texts)]
     z, n = np.zeros(PLACES + 1), np.zeros(PLACES + 1)
 
     def weight(at, l1):
@@ -75,12 +79,14 @@ class Scorer:
         saved = np.load(io.BytesIO(model))
         self.weight = np.zeros(PLACES + 1)
         self.weight[saved["at"]] = saved["weight"]
+        self.some = self.weight != 0
         self.hashes = _Hashes()
 
     def __call__(self, texts: list[str | None]) -> list[dict]:
         out = []
         for t in texts:
-            at, x = features(t, self.hashes)
+            places = grams(t, self.hashes)
+            at, x = sparse(places[self.some[places]], len(places))
             z = float(self.weight[at] @ x + self.weight[PLACES])
             out.append({"score": 1 / (1 + float(np.exp(-min(max(z, -35.0), 35.0))))})
         return out

@@ -12,12 +12,12 @@ from beaconry.session import prepare
 
 
 def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str, parts: int, left: int, most: int) -> DataFrame:
-    """(text, label) of about `most` documents of each class, none of the fold left out.
+    """(text, label) of about `most` labelled documents, none of the fold left out.
 
     The chosen ids are bounded by `most`, so they are broadcast and no text is shuffled.
     """
     rows = table(spark, sf_dir, "labels").select("doc_id", label).where(F.col(label).isNotNull() & (fold("doc_id", parts) != left))
-    return docs.select("doc_id", "text").join(F.broadcast(sampled(rows, label, most, "doc_id")), "doc_id").select("text", label)
+    return docs.select("doc_id", "text").join(F.broadcast(sampled(rows, most, "doc_id")), "doc_id").select("text", label)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (fold("doc_id", 3) != 1))
-    model = language.learn(sampled(known, "lang", language.DOCUMENTS, "doc_id"))
+    model = language.learn(sampled(known, language.DOCUMENTS, "doc_id", "lang"))
     scored = language.identify(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.ambiguous"

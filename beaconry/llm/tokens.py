@@ -17,6 +17,11 @@ from beaconry.session import work_folder
 
 #: Characters that engines do not agree about as white space, and the start of special tokens.
 _UNSURE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]|<\|")
+#: The pattern of the word tokenizer's file, and what it matches in Latin texts (fixed values).
+_WORDS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
+_BEYOND_LATIN = re.compile("[^\t\n\r -~\xa1-įı-ɏ]|<\\|")
 _GAPS = re.compile(r"\s*\S+|\s+").findall
 #: Pieces kept by one encoder, and the longest piece worth keeping.
 KEPT, LONGEST = 600_000, 80
@@ -40,6 +45,14 @@ def word_pieces(text: str) -> list[str]:
     return text.split(" ")
 
 
+def latin_pieces(text: str) -> list[str]:
+    """A text in lower case, cut by `_WORDS_AND_MARKS`; at spaces only where it holds more than Latin letters.
+
+    These texts are normalised already, and every character's class and lower case are plain.
+    """
+    return word_pieces(text) if _BEYOND_LATIN.search(text) else _WORD(text.lower())
+
+
 def _shape(path: str) -> Callable[[str], list[str]] | None:
     """How texts may be cut for the tokenizer of this file without changing any id."""
     if not path.endswith(".json"):
@@ -57,7 +70,7 @@ def _shape(path: str) -> Callable[[str], list[str]] | None:
         [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and steps[0]["behavior"] == "Removed"
         and " " not in steps[0]["pattern"].get("Regex", " ") and kinds <= {"NFC", "Replace", "Lowercase"}
     ):
-        return word_pieces
+        return latin_pieces if "Lowercase" in kinds and steps[0]["pattern"]["Regex"] == _WORDS_AND_MARKS else word_pieces
     return None
 
 

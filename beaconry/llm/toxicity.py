@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 from beaconry.llm.learned import fit, scored
 
-#: Places that words are hashed to, documents of each class that are learned from, and words kept by a worker.
-PLACES, DOCUMENTS, KEPT = 1 << 18, 6000, 500_000
+#: Places that words are hashed to, documents that are learned from, and words kept by a worker.
+PLACES, DOCUMENTS, KEPT = 1 << 18, 16_000, 500_000
+#: Bytes of the beginnings of words that are features beside the word.
+BEGINNINGS = (4, 5, 6, 7)
 
 #: Letters lowered, ends of sentences as line ends, other ASCII marks as spaces.
 _TABLE = bytes(
@@ -31,57 +33,59 @@ KIND = T.StructType(
 )
 
 
-def place(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) % PLACES
+def places_of(word: bytes) -> set[int]:
+    """Places of a word and of its beginnings, which inflected and compound words share."""
+    digest = xxhash.xxh64_intdigest
+    return {digest(word) % PLACES, *(digest(word[:n], n) % PLACES for n in BEGINNINGS if len(word) > n)}
 
 
 def sentences(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split(b"\n")
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 0.15, seed: int = 1) -> bytes:
+def train(
+    texts: list[str], labels: list[int], rounds: int = 6, rate: float = 0.2, l1: float = 2e-4, few: int = 4, seed: int = 1
+) -> bytes:
     """Weights of words, and a bias, that make 1 - prod(1 - p(sentence)) likely for the labels.
 
-    A word that fewer than four documents hold has no weight. Steps are scaled by the gradients so far.
+    A feature that fewer than `few` documents hold has no weight, and weights shrink by `l1` at every step, which are
+    scaled by the gradients so far.
     """
     y = np.array(labels, dtype=np.float64)
-    held = []
+    held, parts = [], []
     for t in texts:
         places, owner = [], []
-        for i, s in enumerate(sentences(t)):
-            own = {place(w) for w in s.split()}
-            places += own
-            owner += [i] * len(own)
+        own = sentences(t)
+        for i, s in enumerate(own):
+            found = [p for w in set(s.split()) for p in places_of(w)]
+            places += found
+            owner += [i] * len(found)
         held.append((np.array(places, dtype=np.int64), np.array(owner, dtype=np.int64)))
+        parts.append(len(own))
     frequency = np.zeros(PLACES, dtype=np.int64)
     for places, _ in held:
         frequency[np.unique(places)] += 1
-    useful = frequency >= 4
-    weight, past = np.zeros(PLACES), np.full(PLACES, 1e-2)
-    rate_of_ones = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    typical = np.median([len(np.unique(o)) or 1 for _, o in held])
-    bias, bias_past = float(np.log(rate_of_ones / typical)), 1.0
+    held = [(p[keep], o[keep]) for p, o in held for keep in [frequency[p] >= few]]
+    weight, past = np.zeros(PLACES), np.full(PLACES, 1e-5)
+    ones = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    bias, bias_past = float(np.log(ones / np.median(parts))), 1.0
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         for some in np.array_split(order.permutation(len(held)), max(1, len(held) // 64)):
-            step, bias_step = np.zeros(PLACES), 0.0
-            for d in some:
-                places, owner = held[d]
-                keep = useful[places]
-                places, owner = places[keep], owner[keep]
-                n = int(held[d][1].max()) + 1 if len(held[d][1]) else 1
-                z = bias + np.bincount(owner, weight[places], n)
-                p = 1 / (1 + np.exp(-z))
-                clean = np.exp(np.minimum(-np.logaddexp(0, z).sum(), -1e-9))
-                pull = p * (clean / (1 - clean) if y[d] else -1.0)
-                np.add.at(step, places, pull[owner])
-                bias_step += pull.sum()
-            step = step / len(some) - 1e-5 * weight
+            n = np.array([parts[d] for d in some])
+            starts = np.cumsum(n) - n
+            places = np.concatenate([held[d][0] for d in some])
+            owner = np.concatenate([held[d][1] + a for d, a in zip(some, starts, strict=True)])
+            z = bias + np.bincount(owner, weight[places], n.sum())
+            clean = np.exp(np.minimum(-np.add.reduceat(np.logaddexp(0, z), starts), -1e-9))
+            pull = np.repeat(np.where(y[some] > 0, clean / (1 - clean), -1.0), n) / (1 + np.exp(-z)) / len(some)
+            step = np.bincount(places, pull[owner], PLACES)
             past += step**2
-            weight += rate * step / np.sqrt(past)
-            bias_past += (bias_step / len(some)) ** 2
-            bias += 0.05 * bias_step / len(some) / np.sqrt(bias_past)
-    weight[np.abs(weight) < 0.02] = 0
+            pace = rate / np.sqrt(past)
+            moved = weight + pace * step
+            weight = np.where(step != 0, np.sign(moved) * np.maximum(np.abs(moved) - pace * l1, 0), weight)
+            bias_past += pull.sum() ** 2
+            bias += 0.05 * pull.sum() / np.sqrt(bias_past)
     out = io.BytesIO()
     np.savez(out, at=np.flatnonzero(weight), weight=weight[weight != 0], bias=bias)
     return out.getvalue()
@@ -92,15 +96,14 @@ class Scorer:
 
     def __init__(self, model: bytes, report: float):
         saved = np.load(io.BytesIO(model))
-        weight = np.zeros(PLACES)
-        weight[saved["at"]] = saved["weight"]
+        weight = dict(zip(saved["at"].tolist(), saved["weight"].tolist(), strict=True))
         self.bias, self.report = float(saved["bias"]), report
 
         class Words(dict):
             def __missing__(self, word):
                 if len(self) >= KEPT:
                     self.clear()
-                value = float(weight[place(word)])
+                value = sum(weight.get(p, 0.0) for p in places_of(word))
                 self[word] = value
                 return value
 
