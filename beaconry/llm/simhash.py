@@ -113,7 +113,8 @@ def _verified(left: dict, right: dict, tables: list[str], within: int) -> np.nda
         for j in range(8):
             passed &= np.abs(a[:, None, j] - b[None, :, j]) <= within
     rows, cols = np.nonzero(passed)
-    far = np.bitwise_count(left["fp"].astype(np.int64)[rows] ^ right["fp"].astype(np.int64)[cols]) > within
+    # Unsigned, as numpy counts the bits of a signed number's magnitude.
+    far = np.bitwise_count((left["fp"].astype(np.int64)[rows] ^ right["fp"].astype(np.int64)[cols]).view(np.uint64)) > within
     passed[rows[far], cols[far]] = False
     return passed
 
