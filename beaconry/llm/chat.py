@@ -36,7 +36,7 @@ def format_chat(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role
     the result, so its turns meet in one task; what they need is combined before the shuffle.
     """
     item = F.struct(
-        F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
+        F.col(turn).isNull().alias("unnumbered"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     sorted_turns = turns.groupBy(F.col(key).alias(key)).agg(F.array_sort(F.collect_list(item)).alias("_turns"))
     # Blocks begin where the role changes; each takes the slice of turns up to the next beginning.
