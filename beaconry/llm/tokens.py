@@ -24,7 +24,7 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_L
 _BEYOND_LATIN = re.compile("[^\t\n\r -~\xa1-įı-ɏ]|<\\|")
 _GAPS = re.compile(r"\s*\S+|\s+").findall
 #: Pieces kept by one encoder, and the longest piece worth keeping.
-KEPT, LONGEST = 600_000, 80
+KEPT, LONGEST = 1_200_000, 80
 
 _encoders: dict = {}
 
