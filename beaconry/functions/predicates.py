@@ -115,9 +115,10 @@ def text_search(terms: Sequence[str], mode: str, field: str = "body") -> Column:
     if mode == "substring":
         return substring
     if mode == "any_token":
-        return F.arrays_overlap(tokens(body), _literal_array(found))
+        # A text that does not hold a term anywhere is not cut into tokens.
+        return any_of(*(body.contains(t) for t in found)) & F.arrays_overlap(tokens(body), _literal_array(found))
     if mode == "all_token":
-        return F.size(F.array_except(_literal_array(found), tokens(body))) == 0
+        return all_of(*(body.contains(t) for t in found)) & (F.size(F.array_except(_literal_array(found), tokens(body))) == 0)
     if mode == "phrase":
         # The cheap substring runs first, so only its few hits are tokenised.
         wanted = F.array_distinct(tokens(F.lit(" ".join(found))))

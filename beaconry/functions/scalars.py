@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from beaconry.functions.binding import let
 from beaconry.schemas import SEVERITIES
 
 # Widest and narrowest time bucket, in seconds (fixed values).
@@ -73,10 +74,48 @@ def ipv4_text(number: Column | str) -> Column:
     return F.concat_ws(".", part(24), part(16), part(8), part(0))
 
 
+def _groups(text: Column) -> Column:
+    """The eight groups of an IPv6 address without leading zeros; null for anything else."""
+
+    def whole(halves: Column) -> Column:
+        side = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+        zeros = 8 - F.size(side(0)) - F.size(side(1))
+        return F.when(F.size(halves) == 1, F.split(F.get(halves, F.lit(0)), ":")).when(
+            (F.size(halves) == 2) & (zeros > 0), F.concat(side(0), F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), side(1))
+        )
+
+    def checked(groups: Column) -> Column:
+        sound = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(sound, F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")))
+
+    return let(F.split(text, "::"), lambda halves: let(whole(halves), checked))
+
+
+def _ipv6_text(text: Column) -> Column:
+    """The shortest spelling of an IPv6 address, a mapped IPv4 address as such; other texts as they are."""
+    number = ipv4_number(F.regexp_extract(text, r":([0-9.]+)$", 1))
+    part = lambda n: F.lower(F.hex(n))
+    tail = F.concat(part(F.shiftright(number, 16)), F.lit(":"), part(number.bitwiseAND(F.lit(0xFFFF))))
+    plain = F.when(number.isNotNull(), F.concat(F.regexp_replace(text, "[0-9.]+$", ""), tail)).otherwise(text)
+
+    def spelled(groups: Column) -> Column:
+        last = lambda i: F.conv(F.get(groups, F.lit(i)), 16, 10).cast("long")
+        mapped = (F.get(groups, F.lit(5)) == "ffff") & F.forall(F.slice(groups, 1, 5), lambda g: g == "0")
+
+        def short(joined: Column) -> Column:
+            # The longest run of zero groups, the first of equals, is left out.
+            runs = [rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$" for n in range(8, 1, -1)]
+            return F.coalesce(*(F.when(joined.rlike(r), F.regexp_replace(joined, r, "$1::$2")) for r in runs), joined)
+
+        return F.when(mapped, ipv4_text(last(6) * 65536 + last(7))).otherwise(let(F.array_join(groups, ":"), short))
+
+    return F.coalesce(let(_groups(plain), spelled), text)
+
+
 def address_key(address: Column | str) -> Column:
-    """A canonical spelling: mapped IPv4 loses its prefix, IPv6 is lower case."""
+    """A canonical spelling: mapped IPv4 loses its prefix, IPv6 is in its shortest lower-case form."""
     a = F.lower(F.trim(col(address)))
-    return F.regexp_replace(a, r"^::ffff:(?=[0-9]+\.)", "")
+    return F.when(a.contains(":"), _ipv6_text(a)).otherwise(a)
 
 
 def ip_scope(address: Column | str) -> Column:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from beaconry.functions.scalars import ipv4_number, ipv4_text
 from beaconry.operators.devices import device_guess
 
-# The widest range a sweep takes and the most addresses of one sweep (fixed values).
-WIDEST_PREFIX, MAX_SWEEP = 16, 65_536
-
 
 def cidr_bits(cidr: Column) -> Column:
     return F.regexp_extract(cidr, r"/(3[0-2]|[12]?[0-9])$", 1).try_cast("int")
@@ -123,29 +120,32 @@ def subnet_addresses(
 
 
 def range_problems(wanted: DataFrame) -> DataFrame:
-    """Jobs whose ranges a sweep refuses, and why: (tenant_id, job_id, problem)."""
-    sized = ranges(wanted).groupBy("tenant_id", "job_id").agg(
-        F.min("bits").alias("_widest"),
-        F.max(F.col("network").isNull()).alias("_bad"),
-        F.sum(F.pow(F.lit(2), 32 - F.col("bits"))).alias("_total"),
-    )
-    problem = (
-        F.when(F.col("_bad"), "not a range")
-        .when(F.col("_widest") < WIDEST_PREFIX, "range too wide")
-        .when(F.col("_total") > MAX_SWEEP, "too many addresses")
-    )
-    return sized.withColumn("problem", problem).where("problem IS NOT NULL").select("tenant_id", "job_id", "problem")
+    """Ranges that cannot be expanded, and why: (tenant_id, job_id, cidr, problem)."""
+    return ranges(wanted).where(F.col("network").isNull()).select("tenant_id", "job_id", "cidr", F.lit("not a range").alias("problem"))
+
 
+def range_expand(wanted: DataFrame, widest: int = 0, block: int = 1 << 12) -> DataFrame:
+    """The distinct host addresses of each job's ranges (tenant_id, job_id, cidr), with `problem` null.
 
-def range_expand(wanted: DataFrame) -> DataFrame:
-    """The distinct host addresses of each accepted job's ranges (tenant_id, job_id, cidr)."""
-    refused = range_problems(wanted).select("tenant_id", "job_id")
+    A range that cannot be read, or that is wider than the prefix `widest`, is a row without an address
+    and with its problem; the job's other ranges are expanded. A range is cut into blocks
+    before it is expanded, so a wide one is not one task's work.
+    """
+    sized = ranges(wanted).withColumn(
+        "problem", F.when(F.col("network").isNull(), "not a range").when(F.col("bits") < widest, "range too wide")
+    )
+    refused = sized.where("problem IS NOT NULL").select("tenant_id", "job_id", "cidr", F.lit(None).cast("string").alias("address"), "problem")
     last = F.col("network") + F.pow(F.lit(2), 32 - F.col("bits")).cast("long") - 1
     edge = F.when(F.col("bits") < 31, 1).otherwise(0)
-    return (
-        ranges(wanted)
-        .join(refused, ["tenant_id", "job_id"], "left_anti")
-        .select("tenant_id", "job_id", F.explode(F.sequence(F.col("network") + edge, last - edge)).alias("_n"))
+    hosts = (
+        sized.where("problem IS NULL")
+        .select("tenant_id", "job_id", (F.col("network") + edge).alias("_low"), (last - edge).alias("_high"))
+        .distinct()
+        .select("tenant_id", "job_id", "_high", F.explode(F.sequence(F.col("_low"), F.col("_high"), F.lit(block))).alias("_low"))
+        .repartition("tenant_id", "job_id", "_low")
+        .select("tenant_id", "job_id", F.explode(F.sequence(F.col("_low"), F.least(F.col("_low") + block - 1, F.col("_high")))).alias("_n"))
         .distinct()
-        .select("tenant_id", "job_id", ipv4_text("_n").alias("address"))
     )
+    return hosts.select(
+        "tenant_id", "job_id", F.lit(None).cast("string").alias("cidr"), ipv4_text("_n").alias("address"), F.lit(None).cast("string").alias("problem")
+    ).unionByName(refused)

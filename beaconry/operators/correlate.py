@@ -11,17 +11,14 @@ from beaconry.functions.quantiles import exact_quantiles
 from beaconry.functions.scalars import errors
 from beaconry.functions.series import first_per_group
 from beaconry.operators.graph import CABLE
-from beaconry.operators.query import read
+from beaconry.operators.query import limited, read
 from beaconry.schemas import NIL_ID
 
-# Most edges of a service map and rows of a trace (fixed values).
-MAX_EDGES, MAX_TRACE_ROWS = 500, 500
-
 HEX_ID = re.compile(r"^[0-9a-fA-F]+$")
 
 
-def service_map(spans: DataFrame, tenant: str | None, limit: int = MAX_EDGES, **window) -> DataFrame:
-    """Calls, errors and 95th percentile between services, busiest pairs first.
+def service_map(spans: DataFrame, tenant: str | None, limit: int | None = None, **window) -> DataFrame:
+    """Calls, errors and 95th percentile between services: all pairs, or each tenant's busiest `limit`.
 
     Both ends carry the tenant and the window: a span id is chosen by its sender, so it may not
     be trusted to stay within a tenant.
@@ -40,8 +37,9 @@ def service_map(spans: DataFrame, tenant: str | None, limit: int = MAX_EDGES, **
         calls, ["tenant_id", "from_service", "to_service"], "duration_ns", {"p95": 0.95},
         count="calls", flags={"errors": errors()},
     )
-    order = [F.col("calls").desc(), F.col("from_service"), F.col("to_service")]
-    return first_per_group(edges, ["tenant_id"], order, max(1, min(limit, MAX_EDGES)))
+    if limit is None:
+        return edges
+    return first_per_group(edges, ["tenant_id"], [F.col("calls").desc(), F.col("from_service"), F.col("to_service")], limit)
 
 
 def hex_id(value: str) -> str:
@@ -52,31 +50,33 @@ def hex_id(value: str) -> str:
     return value.lower()
 
 
-def rows_of(df: DataFrame, column: str, ids: DataFrame, tie: str, limit: int = MAX_TRACE_ROWS) -> DataFrame:
-    """The oldest rows for each id in a set of (tenant_id, `column`)."""
+def rows_of(df: DataFrame, column: str, ids: DataFrame, tie: str, limit: int | None = None) -> DataFrame:
+    """The rows for each id in a set of (tenant_id, `column`): all, or the oldest `limit`."""
     wanted = ids.select("tenant_id", F.lower(F.trim(F.col(column))).alias(column)).where(
         F.col(column).rlike("^[0-9a-f]+$")
     )
     rows = df.join(wanted.distinct(), ["tenant_id", column], "left_semi")
+    if limit is None:
+        return rows
     return first_per_group(rows, ["tenant_id", column], [F.col("observed_at"), F.col(tie)], limit)
 
 
-def row_lookup(df: DataFrame, tenant: str, column: str, value: str, tie: str, limit: int = MAX_TRACE_ROWS, **window) -> DataFrame:
-    """The oldest rows for one id."""
+def row_lookup(df: DataFrame, tenant: str, column: str, value: str, tie: str, limit: int | None = None, **window) -> DataFrame:
+    """The rows for one id, oldest first."""
     rows = read(df, tenant, where=F.col(column) == hex_id(value), **window)
-    return rows.orderBy("observed_at", tie).limit(limit)
+    return limited(rows.orderBy("observed_at", tie), limit)
 
 
-def trace_spans(spans: DataFrame, traces: DataFrame) -> DataFrame:
-    return rows_of(spans, "trace_id", traces, "span_id")
+def trace_spans(spans: DataFrame, traces: DataFrame, limit: int | None = None) -> DataFrame:
+    return rows_of(spans, "trace_id", traces, "span_id", limit)
 
 
-def trace_logs(logs: DataFrame, traces: DataFrame, tie: str = "span_id") -> DataFrame:
-    return rows_of(logs, "trace_id", traces, tie)
+def trace_logs(logs: DataFrame, traces: DataFrame, tie: str = "span_id", limit: int | None = None) -> DataFrame:
+    return rows_of(logs, "trace_id", traces, tie, limit)
 
 
-def span_children(spans: DataFrame, parents: DataFrame) -> DataFrame:
-    return rows_of(spans, "parent_span_id", parents, "span_id")
+def span_children(spans: DataFrame, parents: DataFrame, limit: int | None = None) -> DataFrame:
+    return rows_of(spans, "parent_span_id", parents, "span_id", limit)
 
 
 def active_alerts(states: DataFrame, rules: DataFrame, resources: DataFrame) -> DataFrame:

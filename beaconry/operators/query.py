@@ -16,9 +16,6 @@ from beaconry.functions.predicates import bucketed_window, time_window
 from beaconry.functions.quantiles import exact_quantiles, join_on_keys
 from beaconry.functions.scalars import col
 
-# Most rows one page may hold (fixed values).
-MAX_LIMIT, MAX_TAIL = 10_000, 1_000
-
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 SIMPLE = {
     "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "count_distinct": F.count_distinct,
@@ -77,10 +74,13 @@ def scan(df: DataFrame, signal: str, tenant: str | None, **window) -> DataFrame:
     return read(df, tenant, **window).select(*schemas.columns(signal))
 
 
-def clamp_limit(n: int, cap: int = MAX_LIMIT) -> int:
+def limited(rows: DataFrame, n: int | None) -> DataFrame:
+    """The first `n` rows, as many as the caller says; all without a limit."""
+    if n is None:
+        return rows
     if n < 1:
         raise ValueError("a limit is at least one row")
-    return min(n, cap)
+    return rows.limit(n)
 
 
 def check_alias(alias: str) -> str:
@@ -138,7 +138,6 @@ def aggregate(
 
 def ordered(
     df: DataFrame, by: Sequence[tuple[str, bool]], limit: int | None = None, offset: int = 0,
-    cap: int = MAX_LIMIT,
 ) -> DataFrame:
     """Sort by (column, descending) pairs, then page."""
     for key, _ in by:
@@ -148,7 +147,7 @@ def ordered(
     rows = df.orderBy(*keys) if keys else df
     if offset:
         rows = rows.offset(offset)
-    return rows.limit(clamp_limit(limit, cap)) if limit is not None else rows
+    return limited(rows, limit)
 
 
 def default_order(df: DataFrame, bucket: str | None = None) -> DataFrame:
@@ -161,12 +160,12 @@ def default_order(df: DataFrame, bucket: str | None = None) -> DataFrame:
 
 
 def tail(
-    df: DataFrame, tenant: str | None, limit: int = MAX_TAIL, tie: Sequence[str] = ("resource_id",),
+    df: DataFrame, tenant: str | None, limit: int | None = None, tie: Sequence[str] = ("resource_id",),
     **window,
 ) -> DataFrame:
     """The newest rows first. Neither a group nor an offset is offered here."""
     rows = read(df, tenant, **window)
-    return rows.orderBy(F.col("observed_at").desc(), *tie).limit(clamp_limit(limit, MAX_TAIL))
+    return limited(rows.orderBy(F.col("observed_at").desc(), *tie), limit)
 
 
 def field_counts(df: DataFrame, field: Column | str, top: int = 8) -> DataFrame:
@@ -181,7 +180,7 @@ def field_counts(df: DataFrame, field: Column | str, top: int = 8) -> DataFrame:
 
 def histogram(
     df: DataFrame, start: dt.datetime, end: dt.datetime, seconds: int | None = None,
-    time_column: str = "observed_at", most: int = 5000,
+    time_column: str = "observed_at",
 ) -> DataFrame:
     """Rows per bucket across a window, with empty buckets counted as zero."""
     from beaconry.functions.predicates import floor_time
@@ -194,7 +193,7 @@ def histogram(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     first = floor_time(start, seconds)
-    buckets = min(most, math.floor((end - first).total_seconds() / seconds) + 1)
+    buckets = math.floor((end - first).total_seconds() / seconds) + 1
     axis = df.sparkSession.range(buckets).select(
         F.timestamp_seconds(F.lit(int(first.replace(tzinfo=dt.timezone.utc).timestamp())) + F.col("id") * seconds)
         .alias("bucket")

@@ -15,33 +15,33 @@ MIN_PAIRS = 3
 
 # Names vendors give a field, by the common name of the field (fixed values).
 FIELDS = {
-    "source.ip": "src srcip src_ip saddr sourceip source_address client_ip",
-    "destination.ip": "dst dstip dst_ip daddr destinationip destination_address",
-    "source.port": "spt sport src_port srcport sourceport",
-    "destination.port": "dpt dport dst_port dstport destinationport",
-    "network.transport": "proto protocol ipproto transport",
-    "user.name": "user usr username user_name suser duser account login",
-    "event.action": "act action disposition verdict",
-    "event.outcome": "outcome result status",
-    "dns.question.name": "query qname question domain",
-    "dns.response_code": "rcode response_code",
-    "dns.question.type": "qtype",
-    "rule.name": "rule rulename",
-    "rule.id": "policyid policy_id",
-    "observer.ingress.interface.name": "srcintf",
-    "observer.egress.interface.name": "dstintf",
-    "observer.name": "devname",
-    "host.name": "hostname",
+    "source.ip": ("src", "srcip", "src_ip", "saddr", "sourceip", "source_address", "client_ip"),
+    "destination.ip": ("dst", "dstip", "dst_ip", "daddr", "destinationip", "destination_address"),
+    "source.port": ("spt", "sport", "src_port", "srcport", "sourceport"),
+    "destination.port": ("dpt", "dport", "dst_port", "dstport", "destinationport"),
+    "network.transport": ("proto", "protocol", "ipproto", "transport"),
+    "user.name": ("user", "usr", "username", "user_name", "suser", "duser", "account", "login"),
+    "event.action": ("act", "action", "disposition", "verdict"),
+    "event.outcome": ("outcome", "result", "status"),
+    "dns.question.name": ("query", "qname", "question", "domain"),
+    "dns.response_code": ("rcode", "response_code"),
+    "dns.question.type": ("qtype",),
+    "rule.name": ("rule", "rulename"),
+    "rule.id": ("policyid", "policy_id"),
+    "observer.ingress.interface.name": ("srcintf",),
+    "observer.egress.interface.name": ("dstintf",),
+    "observer.name": ("devname",),
+    "host.name": ("hostname",),
 }
 
 # Words that decide a class (fixed values).
-ALLOW = "allow allowed accept accepted pass permit permitted".split()
-DENY = "deny denied drop dropped block blocked reject rejected discard".split()
-SUCCEEDED = "success succeeded accept accepted ok pass passed".split()
-FAILED = "fail failed failure invalid denied reject rejected".split()
-OPENED = "start started connect connected login logon up".split()
-CLOSED = "stop stopped disconnect disconnected logout logoff down".split()
-TUNNEL = "vpn ipsec ssl-vpn sslvpn anyconnect wireguard tunnel".split()
+ALLOW = ("allow", "allowed", "accept", "accepted", "pass", "permit", "permitted")
+DENY = ("deny", "denied", "drop", "dropped", "block", "blocked", "reject", "rejected", "discard")
+SUCCEEDED = ("success", "succeeded", "accept", "accepted", "ok", "pass", "passed")
+FAILED = ("fail", "failed", "failure", "invalid", "denied", "reject", "rejected")
+OPENED = ("start", "started", "connect", "connected", "login", "logon", "up")
+CLOSED = ("stop", "stopped", "disconnect", "disconnected", "logout", "logoff", "down")
+TUNNEL = ("vpn", "ipsec", "ssl-vpn", "sslvpn", "anyconnect", "wireguard", "tunnel")
 
 # How a class of event is put in a sentence (fixed values).
 VERBS = {
@@ -49,20 +49,24 @@ VERBS = {
     "start": "Started", "end": "Ended", "query": "Queried",
 }
 
-PAIR = r'([^\s=]*)=("[^"]*"?|\S*)'
+# A key starts where a run of its characters does, or where the last pair ended.
+PAIR = r'(?:(?<![^\s=])|\G)[^\s=]*+=(?:"[^"]*"?|\S*)'
 _CEF_FIELD = r"((?:[^|\\]|\\.)*+)\|"
 CEF = r"(?s)^\s*CEF:[^|]*\|" + _CEF_FIELD * 6 + r"(.*)$"
-ALIASES = {alias: field for field, names in FIELDS.items() for alias in names.split()}
+ALIASES = {alias: field for field, names in FIELDS.items() for alias in names}
 
 
 def key_values(text: Column) -> Column:
     """`k=v` pairs of a text as a map, quoted values whole, the first of a repeat kept."""
-    keys = F.regexp_extract_all(text, F.lit(PAIR), F.lit(1))
-    values = F.transform(
-        F.regexp_extract_all(text, F.lit(PAIR), F.lit(2)),
-        lambda v: F.when(v.startswith('"'), F.regexp_replace(v, '^"|"$', "")).otherwise(v),
+    pairs = F.transform(
+        F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)),
+        lambda p: F.struct(
+            F.substring_index(p, "=", 1).alias("key"), F.substr(p, F.instr(p, "=") + 1).alias("value")
+        ),
     )
-    return maps.first_wins(F.filter(maps.entries(keys, values), lambda e: e.key != ""))
+    bare = lambda v: F.when(v.startswith('"'), F.regexp_replace(v, '^"|"$', "")).otherwise(v)
+    named = F.transform(F.filter(pairs, lambda e: e.key != ""), lambda e: F.struct(e.key.alias("key"), bare(e.value).alias("value")))
+    return maps.first_wins(named)
 
 
 def _enough(fields: Column) -> Column:
@@ -76,8 +80,9 @@ def cef_fields(body: Column) -> Column:
     )
     extension = F.regexp_replace(F.regexp_extract(body, CEF, 7), r"(?s)\\([|\\])", "$1")
     severity = F.create_map(F.lit("cef.severity"), part(6))
+    # The prefix is looked for first: the pattern is costly.
     return F.when(
-        body.rlike(CEF),
+        body.contains("CEF:") & body.rlike(CEF),
         F.struct(
             F.nullif(part(1), F.lit("")).alias("vendor"),
             F.nullif(part(5), F.lit("")).alias("name"),

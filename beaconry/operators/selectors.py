@@ -12,10 +12,6 @@ from beaconry.operators.graph import walk_dependents
 
 KEYS = ["tenant_id", "resource_id"]
 
-# Most rows of an inventory page (fixed values).
-PAGE_DEFAULT, PAGE_MOST = 100, 1000
-
-
 def _ids(resources: DataFrame) -> DataFrame:
     return resources.select("tenant_id", F.col("id").alias("resource_id"))
 
@@ -74,10 +70,9 @@ def inventory_page(
     status: str | None = None,
     name_contains: str | None = None,
     group: DataFrame | None = None,
-    limit: int = PAGE_DEFAULT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """One keyset page by id, with `has_more` telling whether another follows."""
-    limit = max(1, min(limit, PAGE_MOST))
+    """One keyset page by id, with `has_more` telling whether another follows; all rows without a limit."""
     rows = resources.where(F.col("tenant_id") == tenant)
     for column, wanted in (("kind", kind), ("site_id", site_id), ("status", status)):
         if wanted is not None:
@@ -89,7 +84,11 @@ def inventory_page(
     if group is not None:
         members = group.select("tenant_id", F.col("resource_id").alias("id"))
         rows = rows.join(members, ["tenant_id", "id"], "left_semi")
-    # One row more than the page says whether there is another; `tail` of the page is bounded.
+    if limit is None:
+        return rows.orderBy("id").withColumn("has_more", F.lit(False))
+    if limit < 1:
+        raise ValueError("a page holds at least one row")
+    # One row more than the page says whether there is another.
     over = rows.orderBy("id").limit(limit + 1)
     count = over.agg((F.count(F.lit(1)) > limit).alias("has_more"))
     return over.orderBy("id").limit(limit).crossJoin(F.broadcast(count))

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.functions.series import first_per_group
-from beaconry.operators.query import read
+from beaconry.operators.query import limited, read
 from beaconry.schemas import RETENTION_DAYS
+from beaconry.session import cut_lineage
 
-# The order signals are drawn in, and the most rows of each (fixed values).
+# The order signals are drawn in (fixed values).
 SIGNALS = ("states", "events", "logs", "metrics", "flows", "spans")
-PER_SIGNAL = 500
 
 
 def _text(signal: str) -> Column:
@@ -48,9 +48,9 @@ def _moments(df: DataFrame, signal: str, tie: Column, extra: tuple[str, ...] = (
 
 def timeline(
     signals: dict[str, DataFrame], resources: DataFrame, start: dt.datetime, end: dt.datetime,
-    now: dt.datetime, ties: dict[str, Column] | None = None, limit: int = PER_SIGNAL,
+    now: dt.datetime, ties: dict[str, Column] | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """The oldest rows of every signal still kept, merged by time and then by signal.
+    """The rows of every signal still kept, merged by time and then by signal: all, or the oldest `limit` of each.
 
     An expired signal is not read, and a partial one is read from where retention begins.
     """
@@ -61,7 +61,7 @@ def timeline(
             continue
         tie = (ties or {}).get(signal, F.col("resource_id"))
         rows = _moments(read(signals[signal], None, start=begins, end=end, resources=resources), signal, tie)
-        tracks.append(rows.orderBy("observed_at", "tie").limit(limit))
+        tracks.append(rows if limit is None else limited(rows.orderBy("observed_at", "tie"), limit))
     if not tracks:
         raise ValueError("nothing is left of this window in any signal")
     return reduce(DataFrame.unionByName, tracks).orderBy("observed_at", "signal_rank", "tie")
@@ -75,26 +75,33 @@ def coverage_table(signals, start: dt.datetime, end: dt.datetime, now: dt.dateti
 
 def incident_timeline(
     incidents: DataFrame, members: DataFrame, signals: dict[str, DataFrame],
-    ties: dict[str, Column] | None = None, limit: int = PER_SIGNAL,
+    ties: dict[str, Column] | None = None, limit: int | None = None, now: dt.datetime | None = None,
 ) -> DataFrame:
-    """The timeline of every incident over its members, up to `limit` rows of each signal.
+    """The timeline of every incident over its members: all rows, or the oldest `limit` of each signal.
 
-    `incidents` has starts_at and ends_at; `members` is (tenant_id, incident_id, resource_id).
+    `incidents` has starts_at and ends_at; `members` is (tenant_id, incident_id, resource_id). Every signal
+    is read from the first start to the last end only, and, given `now`, from where its retention begins.
     """
     bounds = incidents.select("tenant_id", "incident_id", "starts_at", "ends_at")
-    wanted = members.select("tenant_id", "incident_id", "resource_id").distinct().join(bounds, ["tenant_id", "incident_id"])
+    wanted = cut_lineage(
+        members.select("tenant_id", "incident_id", "resource_id").distinct().join(bounds, ["tenant_id", "incident_id"])
+    )
+    first, last = wanted.agg(F.min("starts_at"), F.max("ends_at")).first()
     tracks = []
     for signal in (s for s in SIGNALS if s in signals):
         tie = (ties or {}).get(signal, F.col("resource_id"))
-        rows = signals[signal].join(wanted, ["tenant_id", "resource_id"]).where(
+        begins = first
+        if first is not None and first < last and now is not None:
+            _, begins = coverage(signal, first, last, now)
+        empty = first is None or begins >= last
+        rows = signals[signal].where("false") if empty else read(signals[signal], None, start=begins, end=last)
+        rows = rows.join(wanted, ["tenant_id", "resource_id"]).where(
             (F.col("observed_at") >= F.col("starts_at")) & (F.col("observed_at") < F.col("ends_at"))
         )
-        tracks.append(
-            first_per_group(
-                _moments(rows, signal, tie, ("incident_id",)), ["tenant_id", "incident_id"],
-                [F.col("observed_at"), F.col("tie")], limit,
-            )
-        )
+        track = _moments(rows, signal, tie, ("incident_id",))
+        if limit is not None:
+            track = first_per_group(track, ["tenant_id", "incident_id"], [F.col("observed_at"), F.col("tie")], limit)
+        tracks.append(track)
     return reduce(DataFrame.unionByName, tracks).orderBy(
         "tenant_id", "incident_id", "observed_at", "signal_rank", "tie"
     )

@@ -156,6 +156,18 @@ query(
         "doc_id", "scope_name", "observed_at", "ingested_at", "severity", "body", "attributes", "trace_id"
     )
 )
+
+
+@query(
+    "otlp_unreadable",
+    "SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN 'not JSON' WHEN 4 THEN 'no payload' ELSE 'no records' END AS reason FROM logs WHERE doc_id % 10 IN (3, 4, 5)",
+)
+def _(t):
+    kind, whole = F.col("doc_id") % 10, F.col("payload")
+    spoilt = F.when(kind == 3, F.substring(whole, 1, 60)).when(kind == 4, F.lit(None)).when(kind == 5, F.lit("{}")).otherwise(whole)
+    return otlp.unreadable(t.sql(_LOG_REQUEST).withColumn("payload", spoilt), "logs").select("doc_id", "reason")
+
+
 _METRIC_REQUEST = """SELECT event_id, ingested_at AS received_at, '{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"g","unit":"By","gauge":{"dataPoints":[{"timeUnixNano":"'
     || CASE WHEN event_id % 7 = 0 THEN '0' ELSE cast(1704067200 + event_id as string) || '000000000' END || '","asInt":"' || event_id
     || '","attributes":[{"key":"cpu","value":{"stringValue":"' || (event_id % 8) || '"}}]}]}},{"name":"s","sum":{"isMonotonic":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END
@@ -198,7 +210,7 @@ _LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 query(
     "flow_normalise",
     f"""SELECT {_LINE}, epoch_ms(exported_at) - l_partkey * 100 - 5000 AS started_at, epoch_ms(exported_at) - l_partkey * 100 AS observed_at,
-        '10.0.0.' || (l_suppkey % 250) AS src_address, lower(dst_address) AS dst_address, greatest(coalesce(sampling_rate, 1), 1) AS sampling_rate FROM decoded_flows""",
+        '10.0.0.' || (l_suppkey % 250) AS src_address, regexp_replace(lower(dst_address), '::0$', '::') AS dst_address, greatest(coalesce(sampling_rate, 1), 1) AS sampling_rate FROM decoded_flows""",
 )(
     lambda t: devices.flow_normalise(t.decoded_flows).select(
         *_LINE.split(", "), "started_at", "observed_at", "src_address", "dst_address", "sampling_rate"
@@ -214,10 +226,11 @@ query(
 )(lambda t: devices.snmp_scalars(t.readings, t.spark.sql(_SCALARS)))
 query(
     "snmp_scalars_missing",
-    f"""WITH asked AS ({_SCALARS}), found AS (SELECT r.tenant_id, r.resource_id, count(DISTINCT metric) AS n FROM readings AS r JOIN asked AS a
+    f"""WITH asked AS ({_SCALARS}), found AS (SELECT r.tenant_id, r.resource_id, r.observed_at, count(DISTINCT metric) AS n FROM readings AS r JOIN asked AS a
           ON r.oid = a.oid OR r.oid = a.oid || '.0' GROUP BY ALL)
-        SELECT p.tenant_id, p.resource_id, 3 - coalesce(n, 0) AS skipped FROM (SELECT DISTINCT tenant_id, resource_id FROM readings) AS p
-        LEFT JOIN found AS f ON f.tenant_id = p.tenant_id AND f.resource_id = p.resource_id""",
+        SELECT p.tenant_id, p.resource_id, epoch_ms(p.observed_at) AS observed_at, 3 - coalesce(n, 0) AS skipped
+        FROM (SELECT DISTINCT tenant_id, resource_id, observed_at FROM readings) AS p
+        LEFT JOIN found AS f ON f.tenant_id = p.tenant_id AND f.resource_id = p.resource_id AND f.observed_at = p.observed_at""",
 )(lambda t: devices.snmp_scalars_missing(t.readings, t.spark.sql(_SCALARS)))
 query(
     "snmp_interface_columns",

@@ -139,14 +139,15 @@ query(
 query(
     "range_expand",
     f"""WITH ok AS (SELECT * FROM sweeps WHERE regexp_full_match(cidr, '[0-9.]+/[0-9]+')),
+        bad AS (SELECT * FROM sweeps WHERE NOT regexp_full_match(cidr, '[0-9.]+/[0-9]+')),
         sized AS (SELECT tenant_id, job_id, cast(split_part(cidr, '/', 2) as int) AS bits, {_NUM.format(c="split_part(cidr, '/', 1)")} AS base FROM ok),
-        refused AS (SELECT tenant_id, job_id FROM sized GROUP BY ALL HAVING min(bits) < 16 OR sum(pow(2, 32 - bits)) > 65536
-          UNION SELECT tenant_id, job_id FROM sweeps WHERE NOT regexp_full_match(cidr, '[0-9.]+/[0-9]+')),
         hosts AS (SELECT DISTINCT tenant_id, job_id, unnest(range(lo + edge, lo + size - edge)) AS n FROM (SELECT tenant_id, job_id,
           base - base % cast(pow(2, 32 - bits) as bigint) AS lo, cast(pow(2, 32 - bits) as bigint) AS size, CASE WHEN bits < 31 THEN 1 ELSE 0 END AS edge FROM sized
-          WHERE (tenant_id, job_id) NOT IN (SELECT tenant_id, job_id FROM refused)))
-        SELECT tenant_id, job_id, (n // 16777216) || '.' || (n // 65536) % 256 || '.' || (n // 256) % 256 || '.' || n % 256 AS address FROM hosts""",
-)(lambda t: addresses.range_expand(t.sweeps))
+          WHERE bits >= 14))
+        SELECT tenant_id, job_id, cidr, NULL AS address, 'not a range' AS problem FROM bad
+        UNION ALL SELECT s.tenant_id, s.job_id, s.cidr, NULL, 'range too wide' FROM ok AS s WHERE cast(split_part(cidr, '/', 2) as int) < 14
+        UNION ALL SELECT tenant_id, job_id, NULL, (n // 16777216) || '.' || (n // 65536) % 256 || '.' || (n // 256) % 256 || '.' || n % 256, NULL FROM hosts""",
+)(lambda t: addresses.range_expand(t.sweeps, widest=14))
 
 # --- devices ---
 

@@ -185,7 +185,7 @@ def _(t):
     return t.spans.select("span_id", sc.errors().alias("errors"))
 
 
-@query("limit_clamp", "SELECT event_id, value FROM metrics ORDER BY value DESC, event_id LIMIT 10000")
+@query("limit_clamp", "SELECT event_id, value FROM metrics ORDER BY value DESC, event_id LIMIT 50000")
 def _(t):
     return ordered(t.metrics.select("event_id", "value"), [("value", True), ("event_id", False)], limit=50_000)
 
@@ -282,7 +282,7 @@ def _(t):
 
 @query(
     "tail_latest",
-    "SELECT doc_id, resource_id, epoch_ms(observed_at) AS observed_at FROM logs ORDER BY logs.observed_at DESC, doc_id LIMIT 1000",
+    "SELECT doc_id, resource_id, epoch_ms(observed_at) AS observed_at FROM logs ORDER BY logs.observed_at DESC, doc_id LIMIT 5000",
 )
 def _(t):
     return tail(t.logs, None, 5000, tie=["doc_id"]).select("doc_id", "resource_id", "observed_at")

@@ -151,7 +151,7 @@ def _(t):
     "inventory_page_group",
     """WITH wanted AS (SELECT r.id, r.name FROM resources AS r JOIN group_members AS g ON g.tenant_id = r.tenant_id AND g.resource_id = r.id
          WHERE r.tenant_id = 't1' AND g.group_id = 'BUILDING')
-       SELECT *, (SELECT count(*) FROM wanted) > 1000 AS has_more FROM wanted ORDER BY id LIMIT 1000""",
+       SELECT *, (SELECT count(*) FROM wanted) > 5000 AS has_more FROM wanted ORDER BY id LIMIT 5000""",
 )
 def _(t):
     members = selectors.select_group(t.group_members, "BUILDING")
@@ -178,9 +178,8 @@ def _(t):
            AND c.observed_at >= TIMESTAMP '2024-01-01' AND c.observed_at < TIMESTAMP '2024-02-01'
            AND p.observed_at >= TIMESTAMP '2024-01-01' AND p.observed_at < TIMESTAMP '2024-02-01'),
        grouped AS (SELECT tenant_id, from_service, to_service, count(*) AS calls, count(*) FILTER (status_code = 'error') AS errors,
-         round(quantile_cont(duration_ns, 0.95), 0) AS p95 FROM calls GROUP BY ALL),
-       ranked AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY calls DESC, from_service, to_service) AS rn FROM grouped)
-       SELECT tenant_id, from_service, to_service, calls, errors, p95 FROM ranked WHERE rn <= 500""",
+         round(quantile_cont(duration_ns, 0.95), 0) AS p95 FROM calls GROUP BY ALL)
+       SELECT * FROM grouped""",
 )
 def _(t):
     edges = correlate.service_map(t.spans, None, start=dt.datetime(2024, 1, 1), end=dt.datetime(2024, 2, 1))
@@ -189,27 +188,26 @@ def _(t):
 
 # The traces with a failed span.
 _FAILED = "SELECT DISTINCT tenant_id, upper(trace_id) AS trace_id FROM spans WHERE status_code = 'error'"
-_OLDEST = """SELECT {out} FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, {key} ORDER BY observed_at, {tie}) AS place
-    FROM {table} WHERE {where}) WHERE place <= 500"""
+_ROWS = "SELECT {out} FROM {table} WHERE {where}"
 
 query(
     "trace_spans",
-    _OLDEST.format(
-        out="tenant_id, trace_id, span_id, epoch_ms(observed_at) AS observed_at", key="trace_id", tie="span_id", table="spans",
+    _ROWS.format(
+        out="tenant_id, trace_id, span_id, epoch_ms(observed_at) AS observed_at", table="spans",
         where="trace_id IN (SELECT trace_id FROM spans WHERE status_code = 'error')",
     ),
 )(lambda t: correlate.trace_spans(t.spans, t.sql(_FAILED)).select("tenant_id", "trace_id", "span_id", "observed_at"))
 query(
     "trace_logs",
-    _OLDEST.format(
-        out="tenant_id, trace_id, doc_id", key="trace_id", tie="doc_id", table="logs",
+    _ROWS.format(
+        out="tenant_id, trace_id, doc_id", table="logs",
         where="trace_id <> '' AND (tenant_id, trace_id) IN (SELECT tenant_id, trace_id FROM spans WHERE status_code = 'error')",
     ),
 )(lambda t: correlate.trace_logs(t.logs, t.sql(_FAILED), tie="doc_id").select("tenant_id", "trace_id", "doc_id"))
 query(
     "span_children",
-    _OLDEST.format(
-        out="tenant_id, parent_span_id, span_id", key="parent_span_id", tie="span_id", table="spans",
+    _ROWS.format(
+        out="tenant_id, parent_span_id, span_id", table="spans",
         where="parent_span_id <> '' AND (tenant_id, parent_span_id) IN (SELECT tenant_id, span_id FROM spans WHERE status_code = 'error')",
     ),
 )(

@@ -155,8 +155,7 @@ _UP = "SELECT tenant_id, id AS resource_id FROM resources WHERE status = 'up'"
 def _tracks() -> str:
     return " UNION ALL ".join(
         f"""(SELECT tenant_id, resource_id, '{s}' AS signal, {rank} AS signal_rank, epoch_ms(observed_at) AS observed_at, {tie} AS tie
-            FROM {view} AS x JOIN up USING (tenant_id, resource_id) WHERE observed_at >= TIMESTAMP '{begin}' AND observed_at < TIMESTAMP '2024-01-08'
-            ORDER BY x.observed_at, tie LIMIT 500)"""
+            FROM {view} AS x JOIN up USING (tenant_id, resource_id) WHERE observed_at >= TIMESTAMP '{begin}' AND observed_at < TIMESTAMP '2024-01-08')"""
         for s, (view, rank, tie, begin) in _SQL_TRACK.items()
     )
 
@@ -184,9 +183,7 @@ def _incident_tracks() -> str:
 
 @query(
     "incident_timeline",
-    f"""WITH wanted AS ({_MEMBERS}), rows AS ({_incident_tracks()}),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, incident_id, signal ORDER BY observed_at, tie) AS rn FROM rows)
-        SELECT * EXCLUDE (rn) FROM ranked WHERE rn <= 500""",
+    f"""WITH wanted AS ({_MEMBERS}), rows AS ({_incident_tracks()}) SELECT * FROM rows""",
 )
 def _(t):
     signals = {s: getattr(t, v) for s, v in _SIGNALS.items()}
@@ -211,6 +208,12 @@ query(
          round((epoch_us(m.observed_at) / 1000 - e.lo) / e.span, 6) AS "offset", round(m.duration_ns / 1e6 / e.span, 6) AS width, t.critical
        FROM marked AS m JOIN tree AS t USING (tenant_id, trace_id, span_id) JOIN extents AS e USING (tenant_id, trace_id)""",
 )(lambda t: traces.trace_tree(t.spans))
+query("trace_tree_repeated", _TREE + " SELECT tenant_id, trace_id, span_id, root, depth, critical FROM tree")(
+    # Spans that were delivered twice and three times.
+    lambda t: traces.trace_tree(t.spans.union(t.spans.where("rn % 2 = 0")).union(t.spans.where("rn % 3 = 0"))).select(
+        "tenant_id", "trace_id", "span_id", "root", "depth", "critical"
+    )
+)
 query("trace_critical_path", _TREE + " SELECT tenant_id, trace_id, span_id, depth FROM tree WHERE critical")(
     lambda t: traces.trace_critical_path(t.spans)
 )
@@ -224,3 +227,12 @@ query(
          CASE WHEN bool_or(orphaned) THEN 'clipped' ELSE 'complete' END AS kind, any_value(services) AS services
        FROM linked JOIN services USING (tenant_id, trace_id) GROUP BY ALL""",
 )(lambda t: traces.trace_summary(t.spans))
+query(
+    "trace_summary_empty",
+    """SELECT tenant_id, trace_id, count(*) AS spans FROM spans WHERE l_orderkey % 7 = 0 GROUP BY ALL
+       UNION ALL SELECT DISTINCT tenant_id, 'none' || trace_id, 0 FROM spans WHERE l_orderkey % 7 = 1""",
+)(
+    lambda t: traces.trace_summary(
+        t.spans, t.sql("SELECT tenant_id, trace_id FROM spans WHERE l_orderkey % 7 = 0 UNION SELECT tenant_id, 'none' || trace_id FROM spans WHERE l_orderkey % 7 = 1")
+    ).where("(kind = 'empty') = (spans = 0)").select("tenant_id", "trace_id", "spans")
+)

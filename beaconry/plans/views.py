@@ -241,10 +241,10 @@ def _views(d: Dialect) -> dict[str, str]:
             FROM orders""",
         # A registry made from the supplier list: blocks of 24, 28 and 36 bits.
         "mac_registry": """
-            SELECT '001b' || lpad(lower(hex(s_suppkey)), 2, '0') AS prefix, s_name AS organisation FROM supplier WHERE s_suppkey < 256
+            SELECT lpad(lower(hex(6912 + s_suppkey)), 6, '0') AS prefix, s_name AS organisation FROM supplier
             UNION ALL SELECT '70b3d5', 'Small blocks' FROM region WHERE r_regionkey = 0
-            UNION ALL SELECT '70b3d5' || substr(lpad(lower(hex(s_suppkey % 16)), 1, '0'), 1, 1), 'Medium ' || s_suppkey FROM supplier WHERE s_suppkey < 8
-            UNION ALL SELECT '0050c2' || lpad(lower(hex(s_suppkey)), 3, '0'), 'Narrow ' || s_suppkey FROM supplier WHERE s_suppkey < 4096""",
+            UNION ALL SELECT lpad(lower(hex(118177104 + s_suppkey)), 7, '0'), 'Medium ' || s_suppkey FROM supplier
+            UNION ALL SELECT lpad(lower(hex(84680704 + s_suppkey)), 9, '0'), 'Narrow ' || s_suppkey FROM supplier""",
         # Neighbour tables of every supplier: three protocols, half the rows incomplete.
         "neighbours": """
             SELECT tenant_id, seen_from, place, CASE place % 3 WHEN 0 THEN 'lldp' WHEN 1 THEN 'cdp' ELSE 'arp' END AS protocol,

@@ -69,18 +69,19 @@ def snmp_scalars(readings: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def snmp_scalars_missing(readings: DataFrame, requests: DataFrame) -> DataFrame:
-    """How many requested metrics each device did not answer."""
+    """How many requested metrics each poll of a device did not answer."""
+    poll = ["tenant_id", "resource_id", "observed_at"]
     found = (
         snmp_scalars(readings, requests)
-        .groupBy("tenant_id", "resource_id")
+        .groupBy(*poll)
         .agg(F.count_distinct("metric").alias("_found"))
     )
     wanted = requests.agg(F.count_distinct("metric").alias("_wanted"))
-    polled = readings.select("tenant_id", "resource_id").distinct()
+    polled = readings.select(*poll).distinct()
     return (
-        polled.join(found, ["tenant_id", "resource_id"], "left")
+        polled.join(found, poll, "left")
         .crossJoin(F.broadcast(wanted))
-        .select("tenant_id", "resource_id", (F.col("_wanted") - F.coalesce("_found", F.lit(0))).alias("skipped"))
+        .select(*poll, (F.col("_wanted") - F.coalesce("_found", F.lit(0))).alias("skipped"))
     )
 
 

@@ -107,6 +107,21 @@ def _records(requests: DataFrame, payload: str, schema: str, groups: str, scopes
     )
 
 
+def unreadable(requests: DataFrame, kind: str, payload: str = "payload") -> DataFrame:
+    """The requests of a kind (logs, metrics, spans) that give no rows as they cannot be read, with a reason.
+
+    What is left out of the rows of that kind is here, payload and all, so nothing is lost.
+    """
+    schema, groups = {"logs": (LOGS, "resourceLogs"), "metrics": (METRICS, "resourceMetrics"), "spans": (TRACES, "resourceSpans")}[kind]
+    read = F.from_json(payload, schema)[groups]
+    reason = (
+        F.when(F.col(payload).isNull(), "no payload")
+        .when(F.get_json_object(payload, "$").isNull(), "not JSON")
+        .otherwise("no records")
+    )
+    return requests.where(read.isNull()).withColumn("reason", reason)
+
+
 def otlp_logs(requests: DataFrame, payload: str = "payload", received: str = "received_at") -> DataFrame:
     """Log rows. A record's own attributes override its resource's."""
     rows = _records(requests, payload, LOGS, "resourceLogs", "scopeLogs", "logRecords")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from beaconry.functions import predicates as p
 from beaconry.functions import series
 from beaconry.functions.quantiles import exact_quantiles
-from beaconry.functions.scalars import attr, ip_scope, severity_num, time_bucket
+from beaconry.functions.scalars import address_key, attr, ip_scope, severity_num, time_bucket
 from beaconry.operators import (
     addresses, alerts, devices, graph, identity, incidents, maintenance, query, rates, rollups, security, selectors, traces,
 )
@@ -50,14 +50,14 @@ def test_refusals(spark):
         lambda: query.aggregate(df, {}, ["body"]),
         lambda: query.aggregate(df, {"n": query.Agg("count", "value")}),
         lambda: query.ordered(df, [("nothing", True)]),
-        lambda: query.clamp_limit(0),
+        lambda: query.limited(df, 0),
         lambda: time_bucket("t", 0),
         lambda: time_bucket("t", 86_401),
         lambda: selectors.select_tagged(df, "", "x"),
     ):
         with pytest.raises(ValueError):
             bad()
-    assert query.clamp_limit(50_000) == 10_000
+    assert query.limited(spark.range(20_000), 15_000).count() == 15_000
 
 
 def test_missing_key_reads_empty_and_severity_is_ordinal(spark):
@@ -405,6 +405,44 @@ def test_trace_with_orphan_and_cycle(spark):
     }
 
 
+def test_repeated_spans_are_one_node(spark):
+    """At-least-once delivery: ten copies of each span of a chain of fifty."""
+    chain = [("t", "x", f"s{i:02}", f"s{i - 1:02}" if i else "", at(i), 1_000_000, "ok", "s") for i in range(50)]
+    bare = ("t", "x", "", "s03", at(60), 5, "ok", "s")
+    got = traces.trace_tree(frame(spark, chain * 10 + [bare] * 3, SPAN)).collect()
+    assert len(got) == 51
+    assert {r.span_id: (r.root, r.depth) for r in got} == {**{f"s{i:02}": ("s00", i) for i in range(50)}, None: ("s00", 4)}
+    summary = traces.trace_summary(frame(spark, chain * 2, SPAN), frame(spark, [("t", "x"), ("t", "y")], "tenant_id string, trace_id string"))
+    assert {r.trace_id: (r.spans, r.kind) for r in summary.collect()} == {"x": (50, "complete"), "y": (0, "empty")}
+
+
+def test_a_histogram_counts_every_row(spark):
+    first = dt.datetime(2024, 1, 1)
+    df = spark.range(14_400).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60).alias("observed_at"))
+    bars = query.histogram(df, first, first + dt.timedelta(days=10), 60).collect()
+    assert len(bars) == 14_401 and sum(r.n for r in bars) == 14_400
+
+
+def test_addresses_have_one_spelling(spark):
+    cases = {
+        "2001:DB8:0:0:0:0:0:1": "2001:db8::1", "2001:db8::1": "2001:db8::1", "::ffff:0a00:0001": "10.0.0.1", "::FFFF:10.0.0.1": "10.0.0.1",
+        " 10.0.0.1 ": "10.0.0.1", "::": "::", "::1": "::1", "fe80:0:0:0::": "fe80::", "1:0:0:2:0:0:0:3": "1:0:0:2::3", "1:0:0:2:3:0:0:4": "1::2:3:0:0:4",
+        "64:ff9b::192.0.2.33": "64:ff9b::c000:221", "0001:002:03:4:5:6:7:8": "1:2:3:4:5:6:7:8", "1:0:2:3:4:5:6:7": "1:0:2:3:4:5:6:7",
+        "nonsense:": "nonsense:", "1::2::3": "1::2::3", "12345::": "12345::", "host": "host",
+    }
+    got = frame(spark, [(a,) for a in cases], "a string").select("a", address_key("a").alias("k")).collect()
+    assert {r.a: r.k for r in got} == cases
+
+
+def test_ranges_that_are_refused_leave_the_others(spark):
+    jobs = [("t", "j", "10.0.0.0/30"), ("t", "j", "nonsense"), ("t", "j", "10.0.0.0/8"), ("t", "k", "10.0.0.0/18")]
+    df = frame(spark, jobs, "tenant_id string, job_id string, cidr string")
+    got = addresses.range_expand(df, widest=16)
+    assert {(r.cidr, r.problem) for r in got.where("problem is not null").collect()} == {("nonsense", "not a range"), ("10.0.0.0/8", "range too wide")}
+    assert got.where("job_id = 'j' and problem is null").count() == 2
+    assert got.where("job_id = 'k'").count() == 16_382
+
+
 # --- identity ---
 
 
