@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from beaconry.llm.learned import fit, scored
 
 #: Places that words are hashed to, documents that are learned from, and words kept by a worker.
-PLACES, DOCUMENTS, KEPT = 1 << 18, 16_000, 500_000
+PLACES, DOCUMENTS, KEPT = 1 << 18, 12_000, 500_000
 #: Bytes of the beginnings of words that are features beside the word.
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -60,12 +60,14 @@ def train(
             found = [p for w in set(s.split()) for p in places_of(w)]
             places += found
             owner += [i] * len(found)
-        held.append((np.array(places, dtype=np.int64), np.array(owner, dtype=np.int64)))
+        held.append((np.array(places, dtype=np.int32), np.array(owner, dtype=np.int32)))
         parts.append(len(own))
     frequency = np.zeros(PLACES, dtype=np.int64)
     for places, _ in held:
         frequency[np.unique(places)] += 1
-    held = [(p[keep], o[keep]) for p, o in held for keep in [frequency[p] >= few]]
+    for d, (places, owner) in enumerate(held):  # one by one, as all are held
+        keep = frequency[places] >= few
+        held[d] = places[keep], owner[keep]
     weight, past = np.zeros(PLACES), np.full(PLACES, 1e-5)
     ones = min(max(y.mean(), 1e-3), 1 - 1e-3)
     bias, bias_past = float(np.log(ones / np.median(parts))), 1.0
