@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from beaconry.llm.common import columns, stored
 
 #: Tokens after which a block is closed, and words whose hashes a worker keeps.
-BLOCK_TOKENS, KEPT = 1 << 20, 500_000
+BLOCK_TOKENS, KEPT = 1 << 19, 250_000
 #: The end of a document, which is also what its first word follows; no word is a space.
 END = np.uint64(xxhash.xxh64_intdigest(b" ") & ~1)
 #: Context frequencies are mixed by powers of two, and probabilities counted by quarters of them.
