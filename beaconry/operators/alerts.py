@@ -20,6 +20,15 @@ MIN_WINDOW, EPSILON = 60, 2.220446049250313e-16
 _AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "count_distinct": F.count_distinct}
 
 
+def _since(rows: DataFrame, now: Column, seconds: int) -> DataFrame:
+    """Rows of the window that ends now; days of a stored signal are pruned."""
+    begins = now - F.make_dt_interval(secs=F.lit(max(seconds, MIN_WINDOW)))
+    kept = rows.where((F.col("observed_at") >= begins) & (F.col("observed_at") < now))
+    if "event_date" in rows.columns:
+        kept = kept.where((F.col("event_date") >= F.to_date(begins)) & (F.col("event_date") <= F.to_date(now)))
+    return kept
+
+
 def threshold_values(
     rows: DataFrame,
     rules: DataFrame,
@@ -41,7 +50,7 @@ def threshold_values(
     labels = dict(labels or {})
     value = F.count(F.lit(1)) if func == "count" else _AGGREGATES[func](col(field))
     if longest_seconds is not None:
-        rows = rows.where(F.col("observed_at") >= now - F.make_dt_interval(secs=F.lit(max(longest_seconds, MIN_WINDOW))))
+        rows = _since(rows, now, longest_seconds)
     span = F.greatest(F.col("span_seconds"), F.lit(MIN_WINDOW))
     keyed = rules.select("tenant_id", "rule_id", "span_seconds", *match)
     named = [c.alias(f"_l_{k}") for k, c in labels.items()]
@@ -70,15 +79,12 @@ def absence_values(rows: DataFrame, rules: DataFrame, expected: DataFrame | None
 
     `expected` is (tenant_id, rule_id, resource_id). Without it there is no way to notice a
     resource that was never heard, so it is required. A resource not heard in its whole window
-    reports one second more than the window.
+    reports one second more than the window. Nothing older than the longest window is read.
     """
     if expected is None:
         raise ValueError("an absence rule needs the set of resources it expects to hear from")
-    last = (
-        rows.where(F.col("observed_at") < now)
-        .groupBy("tenant_id", "resource_id")
-        .agg(F.max("observed_at").alias("_last"))
-    )
+    longest = rules.agg(F.max("after_seconds")).first()[0] or 0
+    last = _since(rows, now, longest).groupBy("tenant_id", "resource_id").agg(F.max("observed_at").alias("_last"))
     window = F.greatest(F.col("after_seconds"), F.lit(MIN_WINDOW)).cast("double")
     age = (F.unix_millis(now) - F.unix_millis("_last")) / 1000
     return (

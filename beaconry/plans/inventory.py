@@ -42,16 +42,47 @@ def _decided(t):
 
 
 query("identity_decide", f"{_DECIDE} SELECT * REPLACE (round(confidence, 6) AS confidence) FROM decided")(_decided)
-query(
-    "identity_name_kind",
-    """WITH named AS (SELECT tenant_id, observation_id, arg_min(value, row(CASE kind WHEN 'hostname' THEN 1 WHEN 'serial' THEN 2 WHEN 'mgmt_ip' THEN 3 ELSE 5 END, kind, value)) AS name,
+_NAMED = """WITH named AS (SELECT tenant_id, observation_id, arg_min(value, row(CASE kind WHEN 'hostname' THEN 1 WHEN 'serial' THEN 2 WHEN 'mgmt_ip' THEN 3 ELSE 5 END, kind, value)) AS name,
          bool_or(kind = 'hostname') AS h, bool_or(kind = 'service_name') AS s, bool_or(kind = 'mgmt_ip') AS a FROM observed GROUP BY ALL)
        SELECT o.tenant_id, o.observation_id, o.source, coalesce(name, 'unidentified-' || o.source) AS name,
          CASE WHEN o.source = 'otlp' AND coalesce(h, false) THEN 'host' WHEN coalesce(s, false) AND NOT a AND NOT h THEN 'service' ELSE 'device' END AS kind
-       FROM observations AS o LEFT JOIN named AS n ON n.tenant_id = o.tenant_id AND n.observation_id = o.observation_id""",
+       FROM observations AS o LEFT JOIN named AS n ON n.tenant_id = o.tenant_id AND n.observation_id = o.observation_id"""
+query(
+    "identity_name_kind",
+    _NAMED,
 )(lambda t: identity.identity_name_kind(t.observations, t.observed))
 # Groups are components of a graph, found by an iterative job; a test checks them by brute force.
 query("identity_new_groups")(lambda t: identity.identity_new_groups(t.observed, _decided(t)))
+_TARGETS = f"""{_DECIDE},
+    told AS (SELECT tenant_id, observation_id, string_agg(kind || '|' || value, ',' ORDER BY kind, value) AS told FROM seen GROUP BY ALL),
+    told_of AS (SELECT d.tenant_id, d.observation_id, coalesce(reason, outcome) AS why, resource_id, told
+      FROM decided AS d LEFT JOIN told AS s ON s.tenant_id = d.tenant_id AND s.observation_id = d.observation_id),
+    target AS (SELECT tenant_id, observation_id, why, coalesce(resource_id, 'new-' || CASE WHEN told IS NULL THEN observation_id
+      ELSE min(observation_id) OVER (PARTITION BY tenant_id, why, told, resource_id IS NULL) END) AS resource_id FROM told_of)"""
+
+
+def _targets(t):
+    return identity.identity_targets(t.observed, _decided(t))
+
+
+query("identity_targets", f"{_TARGETS} SELECT * FROM target")(_targets)
+query(
+    "identity_changes",
+    f"""{_TARGETS}, held AS (SELECT tenant_id, kind, value, min(resource_id) AS previous_id FROM identifiers GROUP BY ALL),
+        claim AS (SELECT s.*, t.resource_id, previous_id, CASE WHEN why = 'tier_one_contradiction' THEN 0 WHEN why IN ('match', 'merge') THEN 1 ELSE 2 END AS rank
+          FROM seen AS s JOIN target AS t ON t.tenant_id = s.tenant_id AND t.observation_id = s.observation_id
+          LEFT JOIN held AS h ON h.tenant_id = s.tenant_id AND h.kind = s.kind AND h.value = s.value)
+        SELECT tenant_id, kind, value, arg_min(resource_id, row(rank, observation_id)) AS resource_id, previous_id,
+          CASE WHEN previous_id IS NULL THEN 'attached' ELSE 'moved' END AS change
+        FROM claim GROUP BY tenant_id, kind, value, previous_id HAVING min(rank) = 0 OR previous_id IS NULL""",
+)(lambda t: identity.identity_changes(t.observed, t.identifiers, _targets(t)))
+query(
+    "identity_provisional",
+    f"""{_TARGETS}, named_of AS ({_NAMED})
+        SELECT t.tenant_id, resource_id, arg_min(name, t.observation_id) AS name, arg_min(kind, t.observation_id) AS kind
+        FROM target AS t JOIN named_of AS n ON n.tenant_id = t.tenant_id AND n.observation_id = t.observation_id
+        WHERE why NOT IN ('match', 'merge') GROUP BY ALL""",
+)(lambda t: identity.identity_provisional(identity.identity_name_kind(t.observations, t.observed), _targets(t)))
 query(
     "observed_identifiers",
     """SELECT event_id, 'mgmt_ip' AS kind, peer AS value FROM syslog_parts
@@ -302,6 +333,13 @@ query(
         FROM sightings AS s LEFT JOIN decided AS d ON d.tenant_id = s.tenant_id AND d.observation_id = s.observation_id GROUP BY ALL""",
 )(lambda t: devices.sweep_outcomes(t.sightings, _decided(t)))
 
+query(
+    "sweep_candidates",
+    """SELECT tenant_id, run_id, observation_id, CASE result WHEN 'refused' THEN 'unreachable' ELSE 'unidentified' END AS state,
+        CASE result WHEN 'refused' THEN 'credentials_refused' ELSE 'no_name_or_object_id' END AS reason
+        FROM sightings WHERE result = 'refused' OR result = 'answered' AND sys_name IS NULL AND sys_object_id IS NULL""",
+)(lambda t: devices.sweep_candidates(t.sightings).select("tenant_id", "run_id", "observation_id", "state", "reason"))
+
 _NOW = "2024-01-01 00:08:00"
 query(
     "collector_health",

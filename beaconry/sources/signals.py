@@ -1,10 +1,13 @@
-"""Stored signals: partitioned by day, ordered by tenant and resource within files."""
+"""Stored signals: partitioned by day and batch, ordered by tenant and resource within files."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from beaconry.schemas import SIGNALS, columns
 
@@ -20,16 +23,19 @@ def conform(df: DataFrame, signal: str) -> DataFrame:
     )
 
 
-def write_signal(df: DataFrame, signal: str, path: str, mode: str = "append") -> None:
-    """Append typed rows.
+def write_signal(df: DataFrame, signal: str, path: str, batch: str | None = None) -> None:
+    """Append typed rows, or write again those of a batch of the same name.
 
-    Rows are range-partitioned by day, tenant, resource and time, so each file holds a narrow span
+    Rows are range-partitioned by day, tenant, resource, metric and time, so each file holds a narrow span
     that row-group statistics can skip, and a resource with very many rows is split by time instead
-    of filling one task. Trace ids get a bloom filter where the signal has them.
+    of filling one task. Trace ids get a bloom filter where the signal has them. A day's folder holds one
+    folder of each batch, which a repeat of the batch replaces; without a name each call is a batch of its own.
     """
-    order = ["event_date", "tenant_id", "resource_id", "observed_at"]
+    key = ["tenant_id", "resource_id", *(c for c in ("metric",) if c in columns(signal)), "observed_at"]
     rows = conform(df, signal).withColumn("event_date", F.to_date("observed_at"))
-    writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("event_date")
+    rows = rows.repartitionByRange("event_date", *key).sortWithinPartitions("event_date", *key)
+    rows = rows.withColumn("batch", F.lit(f"own-{uuid.uuid4().hex}" if batch is None else f"b-{batch}"))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch")
     if "trace_id" in columns(signal):
         writer = writer.option("parquet.bloom.filter.enabled#trace_id", "true").option(
             "parquet.bloom.filter.fpp#trace_id", "0.001"
@@ -37,13 +43,25 @@ def write_signal(df: DataFrame, signal: str, path: str, mode: str = "append") ->
     writer.parquet(path)
 
 
+def sink_signal(rows: DataFrame, signal: str, path: str, progress: str) -> DataStreamWriter:
+    """A writer that stores a stream as `write_signal` does; a micro-batch that runs again replaces its rows.
+
+    Batches are named by their number, so a stored signal takes one stream, beside any batch writes.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_signal(batch, signal, path, str(number))
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", progress)
+
+
 def stored_schema(signal: str) -> StructType:
-    return StructType([*SIGNALS[signal].fields, StructField("event_date", DateType())])
+    return StructType([*SIGNALS[signal].fields, StructField("event_date", DateType()), StructField("batch", StringType())])
 
 
 def read_signal(spark: SparkSession, signal: str, path: str) -> DataFrame:
     """A stored signal; a window on it prunes days and skips row groups."""
-    return spark.read.schema(stored_schema(signal)).parquet(path)
+    return spark.read.schema(stored_schema(signal)).parquet(path).drop("batch")
 
 
 def stream_signal(spark: SparkSession, signal: str, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -51,4 +69,4 @@ def stream_signal(spark: SparkSession, signal: str, path: str, files_per_trigger
     reader = spark.readStream.schema(stored_schema(signal))
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(path).drop("batch")

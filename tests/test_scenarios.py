@@ -446,6 +446,43 @@ def test_ranges_that_are_refused_leave_the_others(spark):
 # --- identity ---
 
 
+def test_a_batch_teaches_the_next(spark):
+    known = frame(
+        spark, [("t", "a", "hostname", "ha"), ("t", "a", "serial", "S0"), ("t", "b", "serial", "S1"), ("t", "b", "mgmt_ip", "2")],
+        "tenant_id string, resource_id string, kind string, value string",
+    )
+    told = [
+        ("o1", "hostname", "ha"), ("o1", "serial", "S0"), ("o1", "mac", "m1"),  # sure: its mac joins a
+        ("o2", "serial", "S2"), ("o2", "mgmt_ip", "2"),  # other hardware at 2: both move
+        ("o3", "hostname", "hc"), ("o4", "hostname", "hc"),  # nobody's, told twice
+        ("o5", "hostname", "ha"), ("o5", "service_name", "s"),  # review: only the service is free
+    ]
+    observed = frame(spark, [("t", o, k, v) for o, k, v in told], "tenant_id string, observation_id string, kind string, value string")
+    observations = observed.select("tenant_id", "observation_id").distinct().withColumn("source", F.lit("syslog"))
+    observations = observations.unionByName(frame(spark, [("t", "o6", "syslog")], observations.schema))
+    decisions = identity.identity_decide(observations, observed, known)
+    targets = identity.identity_targets(observed, decisions)
+    assert rows(targets, "observation_id", "why", "resource_id") == [
+        ("o1", "merge", "a"), ("o2", "tier_one_contradiction", "new-o2"), ("o3", "no_match", "new-o3"),
+        ("o4", "no_match", "new-o3"), ("o5", "review", "new-o5"), ("o6", "no_match", "new-o6"),
+    ]
+    changes = identity.identity_changes(observed, known, targets)
+    assert rows(changes, "kind", "value", "resource_id", "previous_id", "change") == [
+        ("hostname", "hc", "new-o3", None, "attached"), ("mac", "m1", "a", None, "attached"),
+        ("mgmt_ip", "2", "new-o2", "b", "moved"), ("serial", "S2", "new-o2", None, "attached"),
+        ("service_name", "s", "new-o5", None, "attached"),
+    ]
+    learnt = identity.identity_learn(known, changes)
+    again = {r.observation_id: (r.outcome, r.resource_id) for r in identity.identity_decide(observations, observed, learnt).collect()}
+    assert [again[o] for o in ("o1", "o2", "o3", "o4")] == [("match", "a"), ("match", "new-o2"), ("match", "new-o3"), ("match", "new-o3")]
+    named = identity.identity_name_kind(observations, observed)
+    assert [r[0] for r in rows(identity.identity_provisional(named, targets), "resource_id")] == ["new-o2", "new-o3", "new-o5", "new-o6"]
+    groups = identity.identity_new_groups(observed, decisions)
+    assert rows(identity.identity_targets(observed, decisions, groups).where("why = 'no_match'"), "observation_id", "resource_id") == [
+        ("o3", "new-o3"), ("o4", "new-o3"), ("o6", "new-o6"),
+    ]
+
+
 def test_alias_chains(spark):
     schema = "tenant_id string, alias_id string, resource_id string"
     chain = frame(spark, [("t", "a", "b"), ("t", "b", "c"), ("t", "c", "d")], schema)
@@ -594,6 +631,27 @@ def test_stored_signal_prunes_days(spark, tmp_path):
     assert stored.count() == 9 and "value" in stored.columns
 
 
+def test_a_repeated_batch_replaces_its_rows(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    df = frame(spark, [("t", f"r{i % 3}", "m", at(i * 40_000), at(i), float(i), {"l": "1"}) for i in range(9)], METRIC)
+    signals.write_signal(df, "metrics", path, "0")
+    signals.write_signal(df.limit(4), "metrics", path, "1")
+    signals.write_signal(df, "metrics", path, "0")
+    signals.write_signal(df, "metrics", path)
+    stored = signals.read_signal(spark, "metrics", path)
+    assert stored.count() == 22 and "batch" not in stored.columns
+
+
+def test_absence_reads_the_days_of_its_window(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    signals.write_signal(frame(spark, [("t", "a", "m", at(i * 40_000), at(i), 1.0, {}) for i in range(9)], METRIC), "metrics", path)
+    rules = frame(spark, [("t", "r", 3600)], "tenant_id string, rule_id string, after_seconds long")
+    expected = frame(spark, [("t", "r", "a")], "tenant_id string, rule_id string, resource_id string")
+    found = alerts.absence_values(signals.read_signal(spark, "metrics", path), rules, expected, F.lit(at(320_100)).cast("timestamp"))
+    assert rows(found, "value", "breaching") == [(100.0, False)]
+    assert "PartitionFilters: [isnotnull(event_date" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_polls_deliver_each_row_once(spark):
     data = [(i, at(i * 10 - (i % 5) * 300), at(i * 10)) for i in range(100)]
     df = frame(spark, data, "i long, observed_at timestamp, ingested_at timestamp")
