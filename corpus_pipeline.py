@@ -18,6 +18,14 @@ from beaconry.llm.queries import labelled
 from beaconry.session import prepare
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` whose doc_id is not among `gone`.
+
+    The ids are written first, so that their true size tells Spark whether all texts must be shuffled to drop them.
+    """
+    return docs.join(stored(gone.select("doc_id").distinct(), "pipeline-gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.3, as learned from labels outside the held-out fold."""
     model = toxicity.learn(labelled(prepare(spark), docs, sf_dir, "toxic", 4, 2, toxicity.DOCUMENTS))
@@ -34,15 +42,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near-duplicates."""
     found = simhash.near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, found.where(F.col("doc_id") != F.col("component_id")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which under a twentieth lies in benchmark passages."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, found.where("contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
