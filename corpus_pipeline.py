@@ -18,6 +18,16 @@ from beaconry.llm.queries import labelled
 from beaconry.session import prepare
 
 
+#: Rows that a stage hands to Python at once. Workers outlive stages, and texts may be long.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with the library's settings and small batches for Python."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """`docs` whose doc_id is not among `gone`.
 
@@ -28,12 +38,13 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.3, as learned from labels outside the held-out fold."""
-    model = toxicity.learn(labelled(prepare(spark), docs, sf_dir, "toxic", 4, 2, toxicity.DOCUMENTS))
+    model = toxicity.learn(labelled(ready(spark), docs, sf_dir, "toxic", 4, 2, toxicity.DOCUMENTS))
     return toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity.score") < 0.3).drop("_toxicity")
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found and not ambiguous."""
+    ready(spark)
     known = docs.where(F.col("lang").isNotNull() & (fold("doc_id", 3) != 1)).select("doc_id", "text", "lang")
     model = language.learn(sampled(known, language.DOCUMENTS, "doc_id", "lang"))
     return language.identify(docs, model, out="_language").where(~F.col("_language.ambiguous")).drop("_language")
@@ -41,18 +52,20 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near-duplicates."""
+    ready(spark)
     found = simhash.near_duplicates(docs)
     return without(docs, found.where(F.col("doc_id") != F.col("component_id")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which under a twentieth lies in benchmark passages."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(docs, table(ready(spark), sf_dir, "benchmark"))
     return without(docs, found.where("contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents cut and packed into sequences of 2048 tokens."""
+    ready(spark)
     return packing.pack_documents(docs, path("word_bpe_49k.json"))
 
 
@@ -70,7 +83,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs = table(ready(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
