@@ -57,14 +57,15 @@ def _elements(text: Column) -> Column:
 
 def _guess_year(rest: Column, received: Column) -> Column:
     """The instant a stamp without a year means, given when it arrived."""
-    part = lambda i: F.regexp_extract(rest, STAMP_3164, i)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), part(1))
-    number = lambda i: F.trim(part(i)).try_cast("int")
+    # A stamp that fits the pattern has its parts at fixed places, so they are cut without another match.
+    number = lambda at: F.trim(F.substring(rest, at, 2)).try_cast("int")
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(rest, 1, 3))
+    day, hour, minute, second = (number(at) for at in (5, 8, 11, 14))
 
     def in_year(year: Column) -> Column:
         return F.when(
-            month > 0,
-            F.try_make_timestamp(year, month.cast("int"), number(2), number(3), number(4), number(5).cast("decimal(8,6)")),
+            rest.rlike(STAMP_3164),
+            F.try_make_timestamp(year, month.cast("int"), day, hour, minute, second.cast("decimal(8,6)")),
         )
 
     this_year = in_year(F.year(received))
