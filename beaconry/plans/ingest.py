@@ -204,6 +204,39 @@ query(
     )
 )
 
+# Requests with a second group that cannot be read, after one that can.
+_SECOND = {
+    "logs": ("scopeLogs", "logRecords", "instrumentationLibraryLogs"),
+    "metrics": ("scopeMetrics", "metrics", "instrumentationLibraryMetrics"),
+    "spans": ("scopeSpans", "spans", "instrumentationLibrarySpans"),
+}
+
+
+@query(
+    "otlp_unreadable_parts",
+    """WITH requests AS (SELECT 'logs' AS kind, doc_id AS id, 0 AS rn, doc_id % 6 AS fault FROM logs UNION ALL SELECT 'metrics', event_id, 0, event_id % 6 FROM metrics
+         UNION ALL SELECT 'spans', l_orderkey, rn, (l_orderkey + rn) % 6 FROM spans)
+       SELECT kind, id, rn, CASE fault WHEN 1 THEN 'a scope without records' WHEN 3 THEN 'a metric without points' WHEN 4 THEN 'a scope without records' ELSE 'a group without scopes' END AS reason
+       FROM requests WHERE fault < 3 OR fault = 3 AND kind = 'metrics' OR fault = 4""",
+)
+def _(t):
+    found = []
+    for kind, text, id, rn in (
+        ("logs", _LOG_REQUEST, "doc_id", F.lit(0)), ("metrics", _METRIC_REQUEST, "event_id", F.lit(0)), ("spans", _SPAN_REQUEST, "l_orderkey", F.col("rn"))
+    ):
+        scopes, items, older = _SECOND[kind]
+        unread = [
+            f'{{"{scopes}":"oops"}}', f'{{"{scopes}":[{{"{items}":"x"}}]}}', f'{{"{older}":[{{"{items}":[{{}}]}}]}}',
+            f'{{"{scopes}":[{{"{items}":[{{"gauge":{{"dataPoints":"x"}}}}]}}]}}', f'{{"{scopes}":[{{"{items}":[{{}},"x"]}}]}}',
+        ]
+        fault = (F.col(id) + rn) % 6
+        second = F.get(F.array(*map(F.lit, unread)), fault.cast("int"))
+        spoilt = F.when(second.isNull(), F.col("payload")).otherwise(F.concat(F.expr("left(payload, length(payload) - 2)"), F.lit(","), second, F.lit("]}")))
+        bad = otlp.unreadable(t.sql(text).withColumn("payload", spoilt), kind)
+        found.append(bad.select(F.lit(kind).alias("kind"), F.col(id).alias("id"), rn.cast("bigint").alias("rn"), "reason"))
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 # --- flows and readings ---
 
 _LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"

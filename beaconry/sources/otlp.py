@@ -39,6 +39,13 @@ TRACES = f"""resourceSpans ARRAY<STRUCT<{_RESOURCE}, scopeSpans: ARRAY<STRUCT<{_
     startTimeUnixNano: STRING, endTimeUnixNano: STRING, attributes: {_ATTRS},
     status: STRUCT<code: INT, message: STRING>>>>>>>"""
 
+# By kind: the schema, and its names of groups, scopes and records.
+_PARTS = {
+    "logs": (LOGS, "resourceLogs", "scopeLogs", "logRecords"),
+    "metrics": (METRICS, "resourceMetrics", "scopeMetrics", "metrics"),
+    "spans": (TRACES, "resourceSpans", "scopeSpans", "spans"),
+}
+
 # Severity names by the last number of each band, span kinds and status codes (fixed values).
 SEVERITY_BANDS = (
     (1, 4, "trace"), (5, 8, "debug"), (13, 16, "warn"), (17, 20, "error"), (21, 21, "critical"),
@@ -108,23 +115,35 @@ def _records(requests: DataFrame, payload: str, schema: str, groups: str, scopes
 
 
 def unreadable(requests: DataFrame, kind: str, payload: str = "payload") -> DataFrame:
-    """The requests of a kind (logs, metrics, spans) that give no rows as they cannot be read, with a reason.
+    """The requests of a kind (logs, metrics, spans) of which something gives no rows as it cannot be read, with a reason.
 
-    What is left out of the rows of that kind is here, payload and all, so nothing is lost.
+    What is left out of the rows of that kind is here, payload and all, so nothing is lost; what can be
+    read of such a request is among the rows too. A list with one element of another type reads as none,
+    and so does a list that is not there. Metrics of other kinds and points without a time are counted
+    by `otlp_metrics_unsupported`.
     """
-    schema, groups = {"logs": (LOGS, "resourceLogs"), "metrics": (METRICS, "resourceMetrics"), "spans": (TRACES, "resourceSpans")}[kind]
-    read = F.from_json(payload, schema)[groups]
+    schema, groups, scopes, items = _PARTS[kind]
+    within = F.flatten(F.transform(F.filter("_groups", lambda g: g[scopes].isNotNull()), lambda g: g[scopes]))
+    partly = F.when(F.exists("_groups", lambda g: g[scopes].isNull()), "a group without scopes").when(
+        F.exists(within, lambda s: s[items].isNull()), "a scope without records"
+    )
+    if kind == "metrics":
+        unread = lambda m, data: m[data].isNotNull() & m[data].dataPoints.isNull()
+        blank = lambda s: F.exists(s[items], lambda m: unread(m, "gauge") | unread(m, "sum"))
+        partly = partly.when(F.exists(within, blank), "a metric without points")
     reason = (
-        F.when(F.col(payload).isNull(), "no payload")
+        F.when(F.col("_groups").isNotNull(), partly)
+        .when(F.col(payload).isNull(), "no payload")
         .when(F.get_json_object(payload, "$").isNull(), "not JSON")
         .otherwise("no records")
     )
-    return requests.where(read.isNull()).withColumn("reason", reason)
+    read = requests.withColumn("_groups", F.from_json(payload, schema)[groups])
+    return read.withColumn("reason", reason).drop("_groups").where(F.col("reason").isNotNull())
 
 
 def otlp_logs(requests: DataFrame, payload: str = "payload", received: str = "received_at") -> DataFrame:
     """Log rows. A record's own attributes override its resource's."""
-    rows = _records(requests, payload, LOGS, "resourceLogs", "scopeLogs", "logRecords")
+    rows = _records(requests, payload, *_PARTS["logs"])
     at = F.coalesce(instant(F.col("r.timeUnixNano")), instant(F.col("r.observedTimeUnixNano")))
     marks = maps.of(
         {
@@ -150,7 +169,7 @@ def otlp_logs(requests: DataFrame, payload: str = "payload", received: str = "re
 
 
 def _points(requests: DataFrame, payload: str) -> DataFrame:
-    rows = _records(requests, payload, METRICS, "resourceMetrics", "scopeMetrics", "metrics")
+    rows = _records(requests, payload, *_PARTS["metrics"])
     return rows.withColumn("_points", F.coalesce("r.gauge.dataPoints", "r.sum.dataPoints"))
 
 
@@ -206,7 +225,7 @@ def sampling_probability(state: Column) -> Column:
 
 def otlp_spans(requests: DataFrame, payload: str = "payload", received: str = "received_at") -> DataFrame:
     """Span rows. A span that ends before it starts lasts nothing, and says so."""
-    rows = _records(requests, payload, TRACES, "resourceSpans", "scopeSpans", "spans")
+    rows = _records(requests, payload, *_PARTS["spans"])
     nanos = lambda c: F.coalesce(F.col(c).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
     start, end = nanos("r.startTimeUnixNano"), nanos("r.endTimeUnixNano")
     at = instant(F.col("r.startTimeUnixNano"))

@@ -616,6 +616,31 @@ def test_sampling_probabilities(spark):
     assert {r.s: r.p for r in df.collect()} == cases
 
 
+@pytest.mark.parametrize(
+    ("kind", "groups", "scopes", "items", "read"),
+    [
+        ("logs", "resourceLogs", "scopeLogs", "logRecords", otlp.otlp_logs),
+        ("metrics", "resourceMetrics", "scopeMetrics", "metrics", otlp.otlp_metrics),
+        ("spans", "resourceSpans", "scopeSpans", "spans", otlp.otlp_spans),
+    ],
+)
+def test_partly_unreadable_requests_are_told(spark, kind, groups, scopes, items, read):
+    item = '{"name":"n","gauge":{"dataPoints":[{"timeUnixNano":"1704067200000000000","asDouble":1}]}}'
+    good = f'{{"{scopes}":[{{"{items}":[{item}]}}]}}'
+    scopeless, recordless = "a group without scopes", "a scope without records"
+    bad = {
+        f'{{"{scopes}":"oops"}}': scopeless, '{"instrumentationLibraryLogs":[{}]}': scopeless, f'{{"{scopes}":[5,{{}}]}}': scopeless,
+        f'{{"{scopes}":[{{"{items}":"x"}}]}}': recordless, f'{{"{scopes}":[{{"{items}":[{item},"x"]}}]}}': recordless,
+    }
+    if kind == "metrics":
+        bad[f'{{"{scopes}":[{{"{items}":[{{"sum":{{"dataPoints":[5]}}}}]}}]}}'] = "a metric without points"
+    cases = {f'{{"{groups}":[{",".join(g)}]}}': (why, n) for b, why in bad.items() for g, n in (([b], 0), ([good, b], 1), ([b, good], 1))}
+    cases |= {f'{{"{groups}":[{good}]}}': (None, 1), f'{{"{groups}":[]}}': (None, 0), f'{{"{groups}":["x",{good}]}}': ("no records", 0)}
+    df = frame(spark, [(k, k, at(0)) for k in cases], "k string, payload string, received_at timestamp")
+    assert {r.k: r.reason for r in otlp.unreadable(df, kind).collect()} == {k: why for k, (why, _) in cases.items() if why}
+    assert {r.k: r["count"] for r in read(df).groupBy("k").count().collect()} == {k: n for k, (_, n) in cases.items() if n}
+
+
 # --- storage and tail ---
 
 
