@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconry.functions import maps
+from beaconry.functions.binding import let
 
-# How deep a nested attribute value is read; deeper ones stay as JSON text (fixed values).
+# How deep a nested attribute value is read with its request; deeper ones are read from their text, a level a round.
 NESTING = 3
 
 
 def _value(depth: int) -> str:
     """The type of an attribute value that may hold others."""
     scalars = "stringValue: STRING, boolValue: STRING, intValue: STRING, doubleValue: STRING, bytesValue: STRING"
-    if depth == 0:
-        return f"STRUCT<{scalars}, arrayValue: STRING, kvlistValue: STRING>"
-    inner = _value(depth - 1)
+    inner = _value(depth - 1) if depth else "STRING"
     return (
         f"STRUCT<{scalars}, arrayValue: STRUCT<values: ARRAY<{inner}>>, "
         f"kvlistValue: STRUCT<values: ARRAY<STRUCT<key: STRING, value: {inner}>>>>"
@@ -55,31 +54,77 @@ KINDS = {2: "server", 3: "client", 4: "producer", 5: "consumer"}
 STATUSES = {1: "ok", 2: "error"}
 
 
-def flatten(value: Column, depth: int = NESTING) -> Column:
-    """An attribute value as one string; lists in brackets, nested attributes in braces."""
-    scalar = F.coalesce(
+def _scalar(value: Column) -> Column:
+    return F.coalesce(
         value.stringValue,
         value.boolValue,
         value.intValue,
         F.regexp_replace(value.doubleValue, r"\.0$", ""),
         F.lower(F.hex(F.unbase64(value.bytesValue))),
     )
-    if depth == 0:
-        return F.coalesce(scalar, value.arrayValue, value.kvlistValue, F.lit(""))
-    items = F.transform(F.coalesce(value.arrayValue.values, F.array()), lambda v: flatten(v, depth - 1))
+
+
+def _named(**fields: Column) -> Column:
+    return F.named_struct(*(c for name, value in fields.items() for c in (F.lit(name), value)))
+
+
+def _held(value: Column) -> Column:
+    """The values a value holds, each with what is written before it."""
+    items = F.transform(value.arrayValue.values, lambda v: _named(before=F.lit(""), value=v))
     pairs = F.transform(
-        F.coalesce(value.kvlistValue.values, F.array()),
-        lambda e: F.concat(e.key, F.lit("="), flatten(e.value, depth - 1)),
+        value.kvlistValue.values,
+        lambda e: _named(before=F.concat(F.coalesce(e.key, F.lit("")), F.lit("=")), value=e.value),
     )
-    bracketed = lambda left, parts, right: F.concat(F.lit(left), F.array_join(parts, ","), F.lit(right))
+    return F.coalesce(F.when(value.arrayValue.isNotNull(), items).otherwise(pairs), F.array())
+
+
+def flatten(value: Column, depth: int = NESTING) -> Column:
+    """An attribute value as one string; lists in brackets, nested attributes in braces."""
+    inner = (lambda v: flatten(v, depth - 1)) if depth else _flatten_text
+    parts = F.array_join(F.transform(_held(value), lambda h: F.concat(h.before, inner(h.value))), ",")
     return F.coalesce(
-        scalar,
-        F.when(value.arrayValue.isNotNull(), bracketed("[", items, "]")),
-        F.when(value.kvlistValue.isNotNull(), bracketed("{", pairs, "}")),
+        _scalar(value),
+        F.when(value.arrayValue.isNotNull(), F.concat(F.lit("["), parts, F.lit("]")))
+        .when(value.kvlistValue.isNotNull(), F.concat(F.lit("{"), parts, F.lit("}"))),
         F.lit(""),
     )
 
 
+def _flatten_text(text: Column) -> Column:
+    """An attribute value's JSON text as `flatten` gives it, at any depth.
+
+    The text is a list of pieces. A round replaces each piece that is still JSON by what stands around
+    its values, and the values' texts; there are as many rounds as braces are nested.
+    """
+    piece = lambda c, raw: _named(text=c, raw=F.lit(raw))
+
+    def pieces(value: Column) -> Column:
+        listed = value.arrayValue.isNotNull()
+        held = F.transform(
+            _held(value),
+            lambda h, i: F.array(piece(F.concat(F.when(i > 0, ",").otherwise(""), h.before), False), piece(h.value, True)),
+        )
+        left, right = F.when(listed, "[").otherwise("{"), F.when(listed, "]").otherwise("}")
+        around = F.concat(F.array(piece(left, False)), F.flatten(held), F.array(piece(right, False)))
+        holds = _scalar(value).isNull() & (listed | value.kvlistValue.isNotNull())
+        return F.when(holds, around).otherwise(F.array(piece(F.coalesce(_scalar(value), F.lit("")), False)))
+
+    def opened(found: Column) -> Column:
+        read = lambda p: F.when(p.raw, let(F.from_json(p.text, _value(0)), pieces)).otherwise(F.array(p))
+        return F.when(F.exists(found, lambda p: p.raw), F.flatten(F.transform(found, read))).otherwise(found)
+
+    braces = F.split(F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^{}"]', ""), "")
+    level = lambda s, b: s.now + F.when(b == "{", 1).when(b == "}", -1).otherwise(0)
+    depth = F.aggregate(
+        braces, _named(now=F.lit(0), most=F.lit(1)),
+        lambda s, b: _named(now=level(s, b), most=F.greatest(s.most, level(s, b))),
+        lambda s: s.most,
+    )
+    rounds = F.sequence(F.lit(1), F.coalesce(depth, F.lit(1)))
+    found = F.aggregate(rounds, F.array(piece(text, True)), lambda found, _: opened(found))
+    return F.array_join(F.transform(found, lambda p: p.text), "")
+
+
 def attributes(pairs: Column) -> Column:
     """A list of attributes as a string map."""
     flat = F.transform(pairs, lambda e: F.struct(e.key.alias("key"), flatten(e.value).alias("value")))

@@ -1,6 +1,7 @@
 """Small cases with known answers, and hard operators against plain Python."""
 
 import datetime as dt
+import json
 import random
 
 import pandas as pd
@@ -641,6 +642,27 @@ def test_partly_unreadable_requests_are_told(spark, kind, groups, scopes, items,
     assert {r.k: r["count"] for r in read(df).groupBy("k").count().collect()} == {k: n for k, (_, n) in cases.items() if n}
 
 
+def test_nested_values_have_one_notation_at_any_depth(spark):
+    def nested(depth):
+        """A value of that many levels, alternately lists and attributes, and its flat form."""
+        if depth == 0:
+            return {"stringValue": 'a}"{[\\'}, 'a}"{[\\'
+        value, flat = nested(depth - 1)
+        if depth % 2:
+            return {"arrayValue": {"values": [{"intValue": "1"}, value, None, {"doubleValue": 2.0}, {"arrayValue": {}}]}}, f"[1,{flat},,2,[]]"
+        return {"kvlistValue": {"values": [{"key": "k", "value": value}, {"value": {"boolValue": True}}, {"key": "e"}]}}, f"{{k={flat},=true,e=}}"
+
+    def request(value):
+        pairs = [{"key": "v", "value": value}]
+        record = {"body": value, "attributes": pairs, "timeUnixNano": "1"}
+        return json.dumps({"resourceLogs": [{"resource": {"attributes": [{"key": "r", "value": value}]}, "scopeLogs": [{"logRecords": [record]}]}]})
+
+    made = {d: nested(d) for d in (*range(8), 40)}
+    df = frame(spark, [(d, request(v), at(0)) for d, (v, _) in made.items()], "d int, payload string, received_at timestamp")
+    got = {r.d: (r.body, r.attributes["v"], r.attributes["r"]) for r in otlp.otlp_logs(df).collect()}
+    assert got == {d: (flat,) * 3 for d, (_, flat) in made.items()}
+
+
 # --- storage and tail ---
 
 
