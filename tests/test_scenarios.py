@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import os
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -16,6 +18,7 @@ from beaconry.operators import (
     addresses, alerts, devices, graph, identity, incidents, maintenance, query, rates, rollups, security, selectors, traces,
 )
 from beaconry.sources import otlp, signals, syslog
+from beaconry.streaming import stateful
 from beaconry.streaming.tail import poll
 
 T0 = dt.datetime(2026, 9, 1)
@@ -242,6 +245,37 @@ def test_absence_needs_an_expected_set_and_sees_the_never_heard(spark):
     assert rows(alerts.absence_values(heard, rules, expected, now), "resource_id", "value", "breaching") == [("a", 20.0, False), ("b", 61.0, True)]
 
 
+def test_stream_absence_tells_each_silence_and_the_never_heard(spark, tmp_path):
+    schema = "tenant_id string, resource_id string, observed_at timestamp"
+    source, names, out, progress = (str(tmp_path / n) for n in ("source", "names", "out", "progress"))
+    heard = lambda data: frame(spark, data, schema).write.mode("append").parquet(source)
+    heard([("t", "a", at(0)), ("t", "a", at(9)), ("t", "b", at(5))])
+    watched = frame(spark, [("t", "a"), ("t", "never"), ("u", "a")], "tenant_id string, resource_id string")
+    watched.write.parquet(names)
+    read = lambda path, schema: spark.readStream.schema(schema).parquet(path)
+    live = read(source, schema)
+    for none in (None, watched):
+        with pytest.raises(ValueError):
+            stateful.stream_absence(live, none, 2)
+    silences = stateful.stream_absence(live, read(names, watched.schema), 2)
+    running = silences.writeStream.option("checkpointLocation", progress).trigger(processingTime="1 second").start(out)
+
+    def told(wanted):
+        """What was told once there is as much as is wanted, and a little later."""
+        began, found = time.monotonic(), set()
+        while len(found) < wanted and time.monotonic() - began < 90 and not running.awaitTermination(1):
+            found = {*map(tuple, spark.read.schema(silences.schema).parquet(out).collect())} if os.path.exists(f"{out}/_spark_metadata") else set()
+        running.awaitTermination(4)
+        return spark.read.schema(silences.schema).parquet(out).collect()
+
+    key = lambda r: (r.tenant_id, r.resource_id, r.last_seen or at(-1))
+    first = [("t", "a", at(9)), ("t", "b", at(5)), ("t", "never", at(-1)), ("u", "a", at(-1))]
+    assert sorted(map(key, told(4))) == first
+    heard([("t", "never", at(60)), ("t", "a", at(61))])
+    assert sorted(map(key, told(6))) == sorted([*first, ("t", "never", at(60)), ("t", "a", at(61))])
+    running.stop()
+
+
 def test_dedup_key_escapes_and_sorts(spark):
     df = frame(spark, [({"b": "x,y", "a": "1=2\\"},), ({},)], "labels map<string,string>")
     got = [r[0] for r in df.select(alerts.dedup_key(F.lit("r"), F.lit("d"), "labels")).collect()]
