@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from public_tokenizers import path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconry.llm import chat, decontaminate, embeddings, language, lm, packing, quality, simhash, tokens, toxicity
+from beaconry.functions.binding import let
+from beaconry.llm import (
+    chat, decontaminate, embeddings, language, lm, manifest, packing, quality, runs, sharding, simhash, tokens, toxicity,
+)
 from beaconry.llm.common import fold, sampled, table
 from beaconry.session import prepare
 
@@ -95,11 +98,57 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    placed = sharding.shard(docs, 24, keep=["doc_id"])
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    touched = F.when(fold("doc_id", 7) == 0, manifest.leaf_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields]))
+    made = manifest.manifest(docs.withColumn("touched", touched), fields, "lang", "doc_id", keep=["doc_id", "touched"])
+    folded = manifest.fold(F.coalesce("touched", "leaf"), F.col("proof"))
+    return (
+        made.withColumn("folded_root", folded).withColumn("verified", F.col("folded_root") == F.col("root"))
+        .select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+    )
+
+
+def planted(text: Column, key: Column) -> Column:
+    """A tenth of the texts, from a word on, as repetitions of a stretch; place and stretch follow from the key."""
+    h = F.crc32(key.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p))), " ")
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, repeat(w)))).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    found = runs.periodic_runs(docs.select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))).select("doc_id", "periodic.*")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length, (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n", "")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"), F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_simhash, op3_chat, op4_packing, op5_toxicity, op6_quality, op7_lm_score, op8_embedding_links,
-        op9_contamination, op10_language,
+        op9_contamination, op10_language, op11_sharding, op12_manifest, op13_periodic_runs,
     )
 }
 
@@ -107,6 +156,10 @@ _ESCAPED = "replace(replace({0}, '&', '&amp;'), '<|', '&lt;|')"
 _LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+# CRC-32 bit by bit: a byte is mixed in, and eight marks of -1 shift it out.
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(doc_id::VARCHAR, '')])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
 ORACLES = {
     "op3_chat": f"""
         WITH turns AS (
@@ -145,4 +198,33 @@ ORACLES = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
             coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
         FROM doc LEFT JOIN place USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op12_manifest": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT lang, doc_id, n_chars IS NOT NULL AND crc % 7 = 0 AS touched, sha256(a || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') || b) AS leaf,
+                sha256(a || coalesce(octet_length(encode((n_chars + 1)::VARCHAR)) || ':' || (n_chars + 1), '-') || b) AS other
+            FROM (SELECT *,
+                coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS a,
+                coalesce(octet_length(encode(text)) || ':' || text, '-') AS b, {_CRC} AS crc FROM documents)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+        tree AS (
+            SELECT lang, 0 AS tier, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM ranked
+            UNION ALL SELECT lang, tier + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, tier, pos // 2, n),
+        subs AS (SELECT lang, tier AS tiers, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top AS (
+            SELECT 0 AS tier, pos, h, n FROM subs
+            UNION ALL SELECT tier + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY tier, pos // 2, n),
+        paths AS (
+            SELECT r.doc_id, r.leaf, r.lang, s.pos AS above, s.tiers, 0 AS tier, r.pos, CASE WHEN touched THEN other ELSE leaf END AS own, '' AS proof
+            FROM ranked r JOIN subs s ON r.lang IS NOT DISTINCT FROM s.lang
+            UNION ALL
+            SELECT p.doc_id, p.leaf, p.lang, p.above, p.tiers, p.tier + 1, CASE WHEN p.tier + 1 = p.tiers THEN p.above ELSE p.pos // 2 END,
+                sha256(CASE WHEN p.pos % 2 = 1 THEN coalesce(t.h, u.h, '') || own ELSE own || coalesce(t.h, u.h, '') END), proof || coalesce(t.h, u.h, '')
+            FROM paths p
+            LEFT JOIN tree t ON p.tier < p.tiers AND t.lang IS NOT DISTINCT FROM p.lang AND t.tier = p.tier AND t.pos = xor(p.pos, 1)
+            LEFT JOIN top u ON p.tier >= p.tiers AND u.tier = p.tier - p.tiers AND u.pos = xor(p.pos, 1)
+            WHERE p.tier < p.tiers + (SELECT max(tier) FROM top))
+        SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, own AS folded_root, own = r.h AS verified
+        FROM paths p JOIN subs s ON p.lang IS NOT DISTINCT FROM s.lang, (SELECT h FROM top WHERE n = 1) r
+        WHERE p.tier = p.tiers + (SELECT max(tier) FROM top)""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import collections
+import hashlib
 import math
 import zlib
 
@@ -92,3 +93,61 @@ def pieces_hold(found: list, ids: dict[int, list[int]], size: int) -> int:
             at += r["length"]
         assert at <= size
     return len(by_sequence)
+
+
+def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Sizes in the tightest bin that holds each, largest first; the earliest of equal bins."""
+    bins: list[list[int]] = []
+    rooms: list[int] = []
+    for s in sorted(sizes, reverse=True):
+        fits = [(r, b) for b, r in enumerate(rooms) if r >= s]
+        if fits:
+            b = min(fits)[1]
+        else:
+            b = len(bins)
+            bins.append([])
+            rooms.append(max(capacity, s))
+        bins[b].append(s)
+        rooms[b] -= s
+    return bins
+
+
+def digest(*parts: str) -> str:
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(values) -> str:
+    return digest(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def merkle(leaves: list[str]) -> tuple[str, list[list[tuple[int, str | None]]]]:
+    """The root, and for each leaf its siblings: (1 before, 2 after, 0 none) and digest, upwards."""
+    proofs, places, now = [[] for _ in leaves], list(range(len(leaves))), leaves
+    while len(now) > 1:
+        for proof, p in zip(proofs, places, strict=True):
+            other = p ^ 1
+            proof.append((0, None) if other >= len(now) else (1 if p & 1 else 2, now[other]))
+        places = [p // 2 for p in places]
+        now = [digest(*now[i : i + 2]) for i in range(0, len(now), 2)]
+    return now[0], proofs
+
+
+def fold(own: str, proof) -> str:
+    for side, other in proof:
+        own = digest(other, own) if side == 1 else digest(own, other) if side == 2 else digest(own)
+    return own
+
+
+def runs(words: list) -> list[tuple[int, int, int]]:
+    """(start, length, period) of every run, by comparing each word with those one period later."""
+    n, found = len(words), {}
+    for p in range(1, n // 4 + 1):
+        i = 0
+        while i + p < n:
+            j = i
+            while j + p < n and words[j] == words[j + p]:
+                j += 1
+            if j > i and j + p - i >= max(6, 4 * p):
+                found.setdefault((i, j + p - i), p)
+            i = j + 1
+    return sorted(((s, n, p) for (s, n), p in found.items()), key=lambda r: (r[0], r[2]))
