@@ -18,8 +18,8 @@ from beaconry.llm.common import stored
 SPAN = 8
 #: Bytes of a step of a proof: where the sibling stands (0 nowhere, 1 before, 2 after), and its digest.
 STEP = 33
-#: The tree over the roots of groups.
-TOP = -1
+#: The tree over the roots of groups, and the most groups of which a table is broadcast.
+TOP, FEW = -1, 100_000
 
 
 def leaf_of(values: list[Column]) -> Column:
@@ -184,7 +184,8 @@ def manifest(
         "manifest-trees",
     )
     sizes = groups.agg(F.max("total").alias("most"), F.count(F.lit(1)).alias("groups")).first()
-    nodes = ranked.join(groups, F.col("_group").eqNullSafe(F.col("_of"))).select(
+    few = F.broadcast if sizes["groups"] <= FEW else lambda table: table
+    nodes = ranked.join(few(groups), F.col("_group").eqNullSafe(F.col("_of"))).select(
         *(f"_own_{i}" for i in range(len(names))), "tree", (F.col("at") - F.col("_first")).alias("pos"), "total", "hash"
     )
     low, subroots = _grow(nodes, sizes["most"] or 0, span, "group")
@@ -211,14 +212,18 @@ def manifest(
             "tree", "step", "pos", F.concat("segment", F.coalesce("_more", F.lit(b""))).alias("segment"), F.col("_next").alias("up")
         )
         distance *= 2
-    paths = stored(paths, "manifest-paths").select(F.struct("tree", "step", "pos").alias("up"), F.col("segment").alias("_more"))
-    done = low[0].withColumn("up", F.coalesce(above, top_leaf)).join(paths, "up", "left")
+    # Roots of groups are named on the few nodes above leaves, as a join of leaves on the tree would have one key a group.
+    roots = subroots.select(F.col("tree").alias("_tree"), F.col("hash").alias("_subroot"))
+    of = F.when(F.col("tree") == TOP, F.when(F.col("step") == 0, F.col("pos"))).otherwise(F.col("tree"))
+    paths = stored(paths, "manifest-paths").withColumn("_tree", of).join(few(roots), "_tree").select(
+        F.struct("tree", "step", "pos").alias("up"), F.col("segment").alias("_more"), "_subroot"
+    )
     return (
-        done.join(subroots.select("tree", F.col("hash").alias("_subroot")), "tree")
+        low[0].withColumn("up", F.coalesce(above, top_leaf)).join(paths, "up")
         .crossJoin(F.broadcast(root.select(F.col("hash").alias("_root"))))  # one row
         .select(
             *(F.col(f"_own_{i}").alias(c) for i, c in enumerate(names)), F.lower(F.hex("hash")).alias("leaf"),
             F.lower(F.hex("_subroot")).alias("subroot"), F.lower(F.hex("_root")).alias("root"),
-            F.concat("segment", F.coalesce("_more", F.lit(b""))).alias("proof"),
+            F.concat("segment", "_more").alias("proof"),
         )
     )
