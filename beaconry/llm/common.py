@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,10 @@ from beaconry.operators.graph import components
 from beaconry.session import work_folder
 
 
+#: Bytes that an entry of a table of words takes beside the word: two objects and its place.
+ENTRY = 200
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,6 +63,25 @@ def slices(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+class Kept(dict):
+    """What `make` gives for byte strings, made once; starts anew when entries take about `most` bytes.
+
+    One task owns it, so that its memory goes back when the task ends.
+    """
+
+    def __init__(self, make: Callable[[bytes], object], most: int = 32 << 20):
+        super().__init__()
+        self.make, self.most, self.held = make, most, 0
+
+    def __missing__(self, word: bytes) -> object:
+        self.held += len(word) + ENTRY
+        if self.held > self.most:
+            self.clear()
+            self.held = len(word) + ENTRY
+        value = self[word] = self.make(word)
+        return value
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

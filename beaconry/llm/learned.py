@@ -10,20 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Characters of all texts together that one model is fitted to.
+CHARACTERS = 96 << 20
+
+
 def fit(sample: DataFrame, train: Callable[[list, list], bytes], text: str, target: str) -> bytes | None:
-    """The model that `train(texts, targets)` makes of a bounded sample, in one task; None of no rows."""
+    """The model that `train(texts, targets)` makes of a bounded sample, in one task; None of no rows.
+
+    Texts come in the order of a hash; one that would bring them over `CHARACTERS` is left out, whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, targets = [], []
+        texts, targets, held = [], [], 0
         for batch in batches:
-            texts += batch.column(0).to_pylist()
-            targets += batch.column(1).to_pylist()
+            for own, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held + len(own) <= CHARACTERS:
+                    held += len(own)
+                    texts.append(own)
+                    targets.append(wanted)
         if texts:
             yield pa.RecordBatch.from_arrays([pa.array([train(texts, targets)], pa.binary())], names=["model"])
 
     rows = (
         sample.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(target).alias("target"))
-        .repartition(1).sortWithinPartitions("target", "text").mapInArrow(run, "model binary").collect()
+        .repartition(1).sortWithinPartitions(F.xxhash64("text"), "target", "text").mapInArrow(run, "model binary").collect()
     )
     return bytes(rows[0]["model"]) if rows else None
 

@@ -10,24 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from beaconry.llm.common import Kept
 from beaconry.llm.learned import fit, scored
 
-#: Places that n-grams are hashed to, documents that are learned from, and words kept by a worker.
-PLACES, DOCUMENTS, KEPT = 1 << 20, 12_000, 500_000
+#: Places that n-grams are hashed to, and documents that are learned from.
+PLACES, DOCUMENTS = 1 << 20, 12_000
 
 _TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^\x00-\x20a-z0-9\x80-\xff]+").findall
 KIND = T.StructType([T.StructField("score", T.DoubleType())])
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        self[word] = value
-        return value
-
-
 def grams(text: str | None, hashes: dict) -> np.ndarray:
     """Places of all words and of all pairs of neighbours.
 
@@ -50,7 +42,7 @@ def sparse(places: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 def train(texts: list[str], labels: list[int], rounds: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 0.05, seed: int = 1) -> bytes:
     """FTRL-proximal: a weight leaves zero only when its summed gradients exceed `l1`."""
-    hashes = _Hashes()
+    hashes = Kept(xxhash.xxh64_intdigest)
     held = [sparse(g, len(g)) for g in (grams(t, hashes) for t in texts)]
     z, n = np.zeros(PLACES + 1), np.zeros(PLACES + 1)
 
@@ -80,7 +72,7 @@ class Scorer:
         self.weight = np.zeros(PLACES + 1)
         self.weight[saved["at"]] = saved["weight"]
         self.some = self.weight != 0
-        self.hashes = _Hashes()
+        self.hashes = Kept(xxhash.xxh64_intdigest)
 
     def __call__(self, texts: list[str | None]) -> list[dict]:
         out = []

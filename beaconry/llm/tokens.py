@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import columns, plain_text, slices
+from beaconry.llm.common import ENTRY, columns, plain_text, slices
 from beaconry.session import work_folder
 
 #: Characters that engines do not agree about as white space, and the start of special tokens.
@@ -23,10 +23,10 @@ _LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
 _BEYOND_LATIN = re.compile("[^\t\n\r -~\xa1-įı-ɏ]|<\\|")
 _GAPS = re.compile(r"\s*\S+|\s+").findall
-#: Pieces kept by one encoder, and the longest piece worth keeping.
-KEPT, LONGEST = 1_200_000, 80
+#: Bytes of pieces and values that one encoder keeps, and the longest piece worth keeping.
+KEPT, LONGEST = 80 << 20, 80
 
-_encoders: dict = {}
+_models: dict = {}
 
 
 def gap_pieces(text: str) -> list[str]:
@@ -74,29 +74,37 @@ def _shape(path: str) -> Callable[[str], list[str]] | None:
     return None
 
 
+def _library(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """What the library of the tokenizer's file gives for texts."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path.endswith(".model"):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: pieces.encode(texts, num_threads=1)
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.no_truncation()
+    model.no_padding()
+    return lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class Encoder:
     """The ids a tokenizer's library gives for whole texts, with pieces seen before kept.
 
     Where the tokenizer's own rules make the pieces of a text independent, each distinct piece is
-    encoded by the library once and kept in a table of at most `KEPT` pieces, which starts anew when
-    full; other tokenizers encode whole texts.
+    encoded by the library once and kept in a table of about `KEPT` bytes, which starts anew when
+    full; other tokenizers encode whole texts. A task has an encoder of its own, so the table goes when the task ends;
+    the library's model, as large as its file, stays in the worker.
     """
 
     def __init__(self, path: str, value: Callable[[list[int]], object]):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.value, self.cut, self.known = value, _shape(path), {}
-        if path.endswith(".model"):
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.ids = lambda texts: model.encode(texts, num_threads=1)
-        else:
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(path)
-            model.no_truncation()
-            model.no_padding()
-            self.ids = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+        if path not in _models:
+            _models.clear()
+            _models[path] = _shape(path), _library(path)
+        self.cut, self.ids = _models[path]
+        self.value, self.known, self.held = value, {}, 0
 
     def __call__(self, texts: list[str]) -> Iterator[list]:
         """For each text the values of its pieces, in order."""
@@ -107,28 +115,22 @@ class Encoder:
         distinct = set().union(*pieces)
         known = self.known
         new = [p for p in distinct if p not in known]
-        if len(known) + len(new) > KEPT:
+        self.held += sum(map(len, new)) + ENTRY * len(new)
+        if self.held > KEPT:
             known.clear()
             new = list(distinct)
+            self.held = sum(map(len, new)) + ENTRY * len(new)
         known.update(zip(new, map(self.value, self.ids(new)), strict=True))
         for p in pieces:
             yield list(map(known.__getitem__, p))
         for p in new:
             if len(p) > LONGEST:
                 del known[p]
-
-
-def encoder(path: str, value: Callable[[list[int]], object]) -> Encoder:
-    """The encoder of this Python worker; its pieces outlive a task."""
-    key = path, value
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(path, value)
-    return _encoders[key]
+                self.held -= len(p) + ENTRY
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    count = encoder(path, len)
+    count = Encoder(path, len)
     for batch in batches:
         (texts,) = columns(batch, "_text")
         out = []
