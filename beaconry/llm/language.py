@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 
 from beaconry.llm.learned import fit, scored
 
-#: Places that n-grams are hashed to (a power of two), and documents of each language that are learned from.
-PLACES, DOCUMENTS = 1 << 14, 800
+#: Bits of the places that n-grams are hashed to, and documents of each language that are learned from.
+BITS, DOCUMENTS = 15, 1500
+PLACES = 1 << BITS
 #: Bytes of an n-gram.
-ORDERS = (2, 4)
+ORDERS = (2, 3, 4)
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 KIND = T.StructType(
@@ -56,7 +57,7 @@ def grams(text: str | None) -> np.ndarray:
             for i in range(n):
                 mixed = (mixed * np.uint32(0x01000193)) ^ a[i : len(a) - n + 1 + i]
             mixed *= np.uint32(0x9E3779B1)
-            out.append(mixed >> np.uint32(18))
+            out.append(mixed >> np.uint32(32 - BITS))
     return np.concatenate(out)
 
 

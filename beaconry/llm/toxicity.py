@@ -9,10 +9,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from beaconry.llm.common import Kept
 from beaconry.llm.learned import fit, scored
 
-#: Places that words are hashed to, documents that are learned from, and words kept by a worker.
-PLACES, DOCUMENTS, KEPT = 1 << 18, 12_000, 500_000
+#: Places that words are hashed to, and documents that are learned from.
+PLACES, DOCUMENTS = 1 << 18, 16_000
 #: Bytes of the beginnings of words that are features beside the word.
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -60,14 +61,14 @@ def train(
             found = [p for w in set(s.split()) for p in places_of(w)]
             places += found
             owner += [i] * len(found)
-        held.append((np.array(places, dtype=np.int32), np.array(owner, dtype=np.int32)))
+        held.append((np.array(places, dtype=np.int32), np.bincount(np.array(owner, dtype=np.int32), minlength=len(own)).astype(np.int32)))
         parts.append(len(own))
     frequency = np.zeros(PLACES, dtype=np.int64)
     for places, _ in held:
         frequency[np.unique(places)] += 1
-    for d, (places, owner) in enumerate(held):  # one by one, as all are held
+    for d, (places, counts) in enumerate(held):  # one by one, as all are held
         keep = frequency[places] >= few
-        held[d] = places[keep], owner[keep]
+        held[d] = places[keep], np.bincount(np.repeat(np.arange(len(counts)), counts)[keep], minlength=len(counts)).astype(np.int32)
     weight, past = np.zeros(PLACES), np.full(PLACES, 1e-5)
     ones = min(max(y.mean(), 1e-3), 1 - 1e-3)
     bias, bias_past = float(np.log(ones / np.median(parts))), 1.0
@@ -77,7 +78,7 @@ def train(
             n = np.array([parts[d] for d in some])
             starts = np.cumsum(n) - n
             places = np.concatenate([held[d][0] for d in some])
-            owner = np.concatenate([held[d][1] + a for d, a in zip(some, starts, strict=True)])
+            owner = np.repeat(np.arange(n.sum()), np.concatenate([held[d][1] for d in some]))
             z = bias + np.bincount(owner, weight[places], n.sum())
             clean = np.exp(np.minimum(-np.add.reduceat(np.logaddexp(0, z), starts), -1e-9))
             pull = np.repeat(np.where(y[some] > 0, clean / (1 - clean), -1.0), n) / (1 + np.exp(-z)) / len(some)
@@ -100,16 +101,7 @@ class Scorer:
         saved = np.load(io.BytesIO(model))
         weight = dict(zip(saved["at"].tolist(), saved["weight"].tolist(), strict=True))
         self.bias, self.report = float(saved["bias"]), report
-
-        class Words(dict):
-            def __missing__(self, word):
-                if len(self) >= KEPT:
-                    self.clear()
-                value = sum(weight.get(p, 0.0) for p in places_of(word))
-                self[word] = value
-                return value
-
-        self.weight = Words().__getitem__
+        self.weight = Kept(lambda word: sum(weight.get(p, 0.0) for p in places_of(word))).__getitem__
 
     def __call__(self, texts: list[str | None]) -> list[dict]:
         out = []
