@@ -12,26 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from beaconry.llm.common import columns, plain_text, stored
+from beaconry.llm.common import Kept, columns, plain_text, stored
 
 #: Bits of the map of item shingles: 2 MB, whatever the items.
 MAP_BITS = 24
-#: Words whose hashes a worker keeps.
-KEPT = 500_000
 
 #: Letters are lowered; all but a-z, 0-9 and bytes beyond ASCII become spaces.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        self[word] = value
-        return value
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORDS).split()
 
@@ -56,7 +45,7 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _place_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
+    hashes = Kept(xxhash.xxh64_intdigest)
     for batch in batches:
         (lists,) = columns(batch, "words")
         found = [_shingle_bits(np.array([hashes[w.encode()] for w in words], dtype=np.uint64), size) for words in lists]
@@ -64,9 +53,15 @@ def _place_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(out)], names=["place"])
 
 
-def _run_batches(batches: Iterator[pa.RecordBatch], key: str, marked: np.ndarray, size: int, least: int) -> Iterator[pa.RecordBatch]:
-    """For each document its words' count, and the stretches that hold `least` or more marked shingles in a row."""
-    hashes = _Hashes()
+def _run_batches(
+    batches: Iterator[pa.RecordBatch], key: str, marked: np.ndarray, size: int, least: int, window: int
+) -> Iterator[pa.RecordBatch]:
+    """For each document its words' count, and the stretches that hold `least` or more marked shingles in a row.
+
+    A stretch is cut into parts of at most twice the window, which overlap by a window less one word, so each
+    occurrence of a window lies whole in a part, and what is later made of a part's words stays small.
+    """
+    hashes = Kept(xxhash.xxh64_intdigest)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.list_(pa.string()))]))
     for batch in batches:
         (texts,) = columns(batch, "_text")
@@ -83,7 +78,9 @@ def _run_batches(batches: Iterator[pa.RecordBatch], key: str, marked: np.ndarray
                     edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
                     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                         if b - a >= least:
-                            own.append({"start": a, "words": [w.decode() for w in words[a : b + size - 1]]})
+                            end = b + size - 1
+                            for s in range(a, max(end - window + 1, a + 1), window + 1):
+                                own.append({"start": s, "words": [w.decode() for w in words[s : min(s + 2 * window, end)]]})
             runs.append(own)
         keys = batch.column(batch.schema.get_field_index(key))
         yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), pa.array(runs, kind)], names=[key, "n_words", "runs"])
@@ -153,7 +150,7 @@ def contamination(
     def scan(batches):
         from beaconry.llm import decontaminate
 
-        yield from decontaminate._run_batches(batches, key, shared.value, size, least)
+        yield from decontaminate._run_batches(batches, key, shared.value, size, least, window)
 
     run_kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))]))
     schema = T.StructType([docs.schema[key], T.StructField("n_words", T.LongType()), T.StructField("runs", run_kind)])
