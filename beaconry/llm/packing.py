@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 
 from beaconry.llm.common import columns, slices, stored
 
-#: Parts that the documents of one length are ranked in.
-RANKED = 256
+#: Pieces of one length that are ranked together, about.
+RANKED = 50_000
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -24,9 +24,9 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], key: str, path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
-    from beaconry.llm.tokens import encoder
+    from beaconry.llm.tokens import Encoder
 
-    encode, tail = encoder(path, _bytes), _bytes([end])
+    encode, tail = Encoder(path, _bytes), _bytes([end])
     names = [key, "start", "length", "ids_crc32", "doc_tokens"]
     for batch in batches:
         (texts,) = columns(batch, "_text")
@@ -108,27 +108,29 @@ def pack(pieces: DataFrame, size: int = 2048, key: str = "doc_id") -> DataFrame:
 
     The histogram of lengths has at most `size` rows; patterns are made from it on the driver, and so
     is their table of ranks, which is bounded by it too and is broadcast. Pieces of a length are ranked
-    in parts by key and start, so a common length is no single task. Repeated rows are packed each;
+    in parts, the more the commoner it is, so a common length is no single task. Repeated rows are packed each;
     a null key is packed like any other; other columns are kept; no pieces give no sequences.
     """
     spark = pieces.sparkSession
-    # A table, as equal pieces must keep the rank they were given.
-    pieces = stored(pieces.withColumn("_part", F.pmod(F.xxhash64(key, "start"), F.lit(RANKED))), "pieces")
+    # A table, as pieces must keep the rank they were given.
+    pieces = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    parts = 16 + max(histogram.values(), default=0) // RANKED
+    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)))
     counts = pieces.groupBy("length", "_part").count()
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     slots = spark.createDataFrame(
         _slots(patterns(histogram, size)), "length bigint, _first bigint, _ranks bigint, _sequence bigint, _count bigint, _offset bigint"
     )
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     ranked = (
-        pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(key, "start")) - 1)
+        pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("_row")) - 1)
         .join(starts, ["length", "_part"])
         .withColumn("_rank", F.col("_rank") + F.col("_before"))
     )
     inside = F.col("_rank") - F.col("_first")
     placed = ranked.join(F.broadcast(slots), "length").where((inside >= 0) & (inside < F.col("_ranks")))
-    rest = [c for c in pieces.columns if c not in ("_part", "sequence_id", "offset")]
+    rest = [c for c in pieces.columns if c not in ("_row", "_part", "sequence_id", "offset")]
     return placed.select(
         *rest,
         (F.col("_sequence") + inside % F.col("_count")).alias("sequence_id"),
