@@ -8,6 +8,7 @@ for, in the order it asked. So no task holds the model, and what is shuffled fol
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import columns, stored
+from beaconry.llm.common import Kept, columns, stored
 
-#: Tokens after which a block is closed, and words whose hashes a worker keeps.
-BLOCK_TOKENS, KEPT = 1 << 19, 250_000
+#: Tokens after which a block is closed.
+BLOCK_TOKENS = 1 << 19
 #: The end of a document, which is also what its first word follows; no word is a space.
 END = np.uint64(xxhash.xxh64_intdigest(b" ") & ~1)
 #: Context frequencies are mixed by powers of two, and probabilities counted by quarters of them.
@@ -33,17 +34,6 @@ _SCHEMA = (
 )
 
 
-class _Hashes(dict):
-    """Even 64-bit hashes of words; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word) & ~1
-        self[word] = value
-        return value
-
-
 def _pack(a: np.ndarray) -> bytes:
     """Bytes of like significance side by side, compressed."""
     a = np.ascontiguousarray(a)
@@ -56,7 +46,7 @@ def _unpack(data: bytes, kind) -> np.ndarray:
 
 
 def _block_batches(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
+    hashes = Kept(lambda word: xxhash.xxh64_intdigest(word) & ~1)  # even numbers are words
     task, number = TaskContext.get().partitionId(), 0
     open_blocks: dict[bool, list] = {False: [], True: []}
     held_tokens = {False: 0, True: 0}
@@ -272,7 +262,8 @@ def score(docs: DataFrame, training, key: str = "doc_id", text: str = "text", he
     blocks = blocks_of(flagged, key, text)
     tokens = blocks.agg(F.sum("train_tokens"), F.sum(F.when(~F.col("held"), F.col("train_tokens")))).first()
     total, fitted = (int(x or 0) for x in tokens)
-    bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    # Ranges grow with the root of the blocks, and so do a range's share of the corpus and the pieces of a block.
+    bits = math.isqrt(16 * blocks.count()).bit_length()
 
     def ask(batches):
         from beaconry.llm import lm
