@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from beaconry.llm.common import component_ids, groups_of, roots, stored
 
-#: Sorted passes, bits of a pass's concatenated hashes, and vectors in half a window.
-PASSES, BITS, WINDOW = 12, 48, 256
+#: Sorted passes over labels of up to CROWD vectors and for each doubling beyond, bits of a pass's concatenated
+#: hashes, and vectors in half a window.
+PASSES, MORE, CROWD, BITS, WINDOW = 12, 2, 1 << 14, 48, 256
+#: Windows that a sorted stretch has at least, on average.
+STRETCH = 16
 #: Vectors of a component that are compared in one step.
 BLOCK = 512
 
@@ -78,7 +80,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[
 
 def near_vectors(
     rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98,
-    passes: int = PASSES, window: int = WINDOW, seed: int = 7,
+    passes: int | None = None, window: int = WINDOW, seed: int = 7,
 ) -> DataFrame:
     """(key, n_links, component_id, kept) for each vector; the key must be whole numbers.
 
@@ -88,7 +90,8 @@ def near_vectors(
     either side; verified links of all passes are united. The passes need only connect a group: links
     are then counted between all vectors of each connected component, in blocks, so a group
     denser than a window loses none. Two vectors that no pass and no chain of links connects are missed;
-    the more passes, the fewer.
+    the more passes, the fewer. By default there are `PASSES`, and `MORE` for each doubling of the largest label
+    beyond `CROWD` vectors. Hashes are made once, and all passes are one sort.
 
     Null, zero, ragged or non-finite vectors and null labels link with nothing; vectors of other
     lengths are compared with those of their own. Rows with an equal key are rows of their own; null
@@ -123,25 +126,28 @@ def near_vectors(
 
         yield from embeddings._count_batches(batches, least)
 
+    n, largest = classes.groupBy("label", "size").count().agg(F.sum("count"), F.max("count")).first()
+    if passes is None:
+        passes = PASSES + MORE * max(0, ((largest or 0) - 1) // CROWD).bit_length()
     fields = classes.select("id", "label", "size", "vector").schema.fields
     hashed = classes.select("id", "label", "size", "vector").mapInArrow(
         hashes, T.StructType([*fields, T.StructField("keys", T.ArrayType(T.LongType()))])
     )
-    found = None
-    for p in range(passes):
-        # A stretch is sorted within one task; the range bounds move from pass to pass.
-        order = ["label", "size", "_key", "id"]
-        edges = (
-            hashed.select(F.lit(p).alias("pass"), "label", "size", "id", "vector", F.get("keys", F.lit(p)).alias("_key"))
-            .repartitionByRange(*order).sortWithinPartitions(*order)
-            .mapInArrow(windows, "a bigint, b bigint")
-        )
-        found = edges if found is None else found.union(edges)
+    hashed = stored(hashed, "vector-hashes")
+    # A stretch is sorted within one task and has many windows; where ranges end differs from pass to pass.
+    order = ["pass", "label", "size", "_key", "id"]
+    ranges = min(passes * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + passes * (n or 0) // (STRETCH * window))
+    found = (
+        hashed.select("label", "size", "id", "vector", F.posexplode("keys").alias("pass", "_key"))
+        .repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("pass", "label", "size", "id", "vector")
+        .mapInArrow(windows, "a bigint, b bigint")
+    )
     named = stored(component_ids(stored(found.distinct(), "vector-edges")), "vector-components")
 
-    members = classes.join(named.withColumnRenamed("component_id", "component"), "id")
-    n = F.count(F.lit(1)).over(Window.partitionBy("component"))
-    blocks = F.ceil(n / BLOCK).cast("int")
+    counts = named.groupBy(F.col("component_id").alias("component")).agg(F.count(F.lit(1)).alias("members"))
+    sized = named.withColumnRenamed("component_id", "component").join(counts, "component")
+    members = classes.join(sized, "id")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     pairs = (
         members.withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
