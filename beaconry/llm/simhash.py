@@ -12,7 +12,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from beaconry.llm.common import columns, component_ids, groups_of, roots, stored
 
@@ -145,12 +144,11 @@ def edges(prints: DataFrame, within: int = 3) -> DataFrame:
     """
     rows = pivot_tables(prints, within)
     tables = [c for c in rows.columns if c.startswith("t")]
-    n = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
+    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
     met = (
-        rows.withColumn("n", n)
-        .where(F.col("n") > 1)
+        rows.join(counts, "bucket")
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -187,18 +185,19 @@ def edges(prints: DataFrame, within: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", within: int = 3) -> DataFrame:
-    """(key, fingerprint, component_id) for each document; the key must be whole numbers.
+    """(key, fingerprint, component_id) for each document; the key may be of any type with an order.
 
-    Documents with one fingerprint are one class, known by its least key. Fingerprints link at
-    `within` or fewer differing bits, and a component is all that links reach, known by its least
-    key. No link is lost. Texts that are null, empty or white space share the fingerprint zero. Rows that
-    share a key are one document of several fingerprints' classes; a null key gets a fingerprint, and
-    the component of the documents that share it. No documents give no rows.
+    Documents with one fingerprint are one class. Fingerprints link at `within` or fewer differing bits, and a
+    component is all that links reach, known by its least key. No link is lost. Texts that are null, empty or white
+    space share the fingerprint zero. Rows that share a key are documents of their own; so are those with a null key,
+    but it names no component that has another. No documents give no rows.
     """
-    prints = stored(fingerprints(docs.select(F.col(key).cast("bigint").alias(key), text), key, text), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min(key).alias("id")), "fingerprint-classes")
-    named = component_ids(edges(classes.where(F.col("id").isNotNull()), within))
-    labelled = classes.join(named, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    prints = stored(fingerprints(docs.select(key, text), key, text), "fingerprints")
+    classes = stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-classes")
+    linked = stored(edges(classes.select(F.col("fp").alias("id"), "fp"), within), "fingerprint-links")
+    named = component_ids(linked).select(F.col("id").alias("fp"), F.col("component_id").alias("_of"))
+    whole = classes.join(named, "fp", "left").withColumn("_of", F.coalesce("_of", "fp"))
+    labelled = whole.join(whole.groupBy("_of").agg(F.min("least").alias("component_id")), "_of").select("fp", "component_id")
     return prints.join(labelled, "fp").select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
