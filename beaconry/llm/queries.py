@@ -17,10 +17,12 @@ from beaconry.session import prepare
 def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str, parts: int, left: int, most: int) -> DataFrame:
     """(text, label) of about `most` labelled documents, none of the fold left out.
 
-    The chosen ids are bounded by `most`, so they are broadcast and no text is shuffled.
+    The chosen ids are bounded by `most`, so they are broadcast and only their texts are shuffled. An id is one row,
+    whatever tables repeat it: its greatest label and text.
     """
-    rows = table(spark, sf_dir, "labels").select("doc_id", label).where(F.col(label).isNotNull() & (fold("doc_id", parts) != left))
-    return docs.select("doc_id", "text").join(F.broadcast(sampled(rows, most, "doc_id")), "doc_id").select("text", label)
+    rows = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & (fold("doc_id", parts) != left))
+    chosen = F.broadcast(sampled(rows.groupBy("doc_id").agg(F.max(label).alias(label)), most, "doc_id"))
+    return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max(label).alias(label)).drop("doc_id")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

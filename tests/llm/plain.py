@@ -6,6 +6,7 @@ import array
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import duckdb
@@ -151,3 +152,35 @@ def runs(words: list) -> list[tuple[int, int, int]]:
                 found.setdefault((i, j + p - i), p)
             i = j + 1
     return sorted(((s, n, p) for (s, n), p in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def contaminated(texts: dict, items: dict, size: int = 13) -> set:
+    """Documents of which a twentieth or more of the words lies in windows of items."""
+    def words(t):
+        return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    windows = {tuple(w[i : i + size]) for w in map(words, items.values()) if w for i in range(max(len(w) - size, 0) + 1)}
+    sizes, out = {len(w) for w in windows}, set()
+    for d, t in texts.items():
+        w = words(t)
+        hit = {i + j for n in sizes for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for j in range(n)}
+        if hit and 20 * len(hit) >= len(w):
+            out.add(d)
+    return out
+
+
+def ftrl(rows: list[dict], labels: list[int], order: list[int], alpha=1.0, beta=1.0, l1=0.05, l2=0.05) -> dict:
+    """Weights by feature after one follow-the-regularised-leader step for each row of `order`."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+
+    for d in order:
+        w = {f: weight(f) for f in rows[d]}
+        p = 1 / (1 + math.exp(-sum(w[f] * x for f, x in rows[d].items())))
+        for f, x in rows[d].items():
+            g = (p - labels[d]) * x
+            z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w[f]
+            n[f] += g * g
+    return {f: weight(f) for f in z}

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import plain  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from beaconry.llm import chat, decontaminate, embeddings, language, lm, packing, quality, simhash, tokens, toxicity  # noqa: E402
+from beaconry.llm import chat, decontaminate, embeddings, language, lm, packing, quality, queries, simhash, tokens, toxicity  # noqa: E402
 
 LONG = "word and " * 60_000
 TEXTS = [(1, "one two three four."), (1, "one two three four."), (2, None), (3, ""), (4, " \n\t "), (None, "one two three four."), (5, LONG), (6, "ÄÖ é 日本 a\x1cb <|endoftext|>")]
@@ -251,10 +251,21 @@ def test_stages(spark, docs, none, name, stage):
         kept = {(r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect()}
         gone = {t for t in TEXTS} - kept
         assert kept <= set(TEXTS)
-        assert gone == {"toxicity": set(), "near-duplicates": {(3, ""), (4, " \n\t ")}, "contamination": set()}.get(name, gone)
+        assert gone == {"toxicity": set(), "near-duplicates": {(3, ""), (4, " \n\t "), (None, TEXTS[0][1])}, "contamination": set()}.get(name, gone)
     assert stage(spark, none, plain.FOLDER).count() == 0
 
 
+def test_stages_judge_every_document_by_itself(spark):
+    """Contaminated documents without an id go; clean ones that share an id with them stay; of copies one stays."""
+    item = plain.rows("SELECT text FROM '{}/benchmark.parquet' ORDER BY length(text) DESC LIMIT 1")[0][0]
+    rows = [(None, item), (1, item), (1, "a clean text of its own"), (None, "another clean one"), (7, "twice the same words here"), (None, "twice the same words here"), (7, "a clean text of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, plain.FOLDER)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted((i or 0, t) for i, t in rows if t != item)
+    one = corpus_pipeline.drop_near_duplicates(spark, docs, plain.FOLDER).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in one) == sorted([(1, item), (1, rows[2][1]), (0, rows[3][1]), (7, rows[4][1])])
+
+
 def test_pipeline(spark):
     """Each stage's decisions are those of a plain version, or of its operator, on what its predecessor kept."""
     folder = plain.FOLDER
@@ -262,14 +273,25 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept, frame = set(texts), docs
     for name, stage in corpus_pipeline.STAGES[:4]:
+        before = frame
         frame = stage(spark, frame, folder).cache()
         now = {r["doc_id"] for r in frame.select("doc_id").collect()}
         assert now <= kept
         if name == "near-duplicates":
             least = plain.near_prints({d: plain.fingerprint(texts[d]) for d in sorted(kept)})
             assert now == {d for d in kept if least[d] == d}
-        if name in ("toxicity", "language"):
-            assert len(now) > 0.7 * len(kept)
+        if name == "toxicity":
+            model = toxicity.learn(queries.labelled(spark, docs, folder, "toxic", 4, 2, toxicity.DOCUMENTS))
+            assert now == {d for d in kept if toxicity.Scorer(model, 0.3)([texts[d]])[0]["score"] < 0.3} and len(now) > 0.7 * len(kept)
+        if name == "language":
+            known = before.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
+            model = language.learn(known)  # all of these, as they are fewer than the bound
+            assert now == {d for d in kept if not language.Scorer(model, 0.5)([texts[d]])[0]["ambiguous"]} and len(now) > 0.7 * len(kept)
+        if name == "contamination":
+            dirty = plain.contaminated({d: texts[d] for d in kept}, dict(plain.rows("SELECT item_id, text FROM '{}/benchmark.parquet'", folder)))
+            assert now == kept - dirty
         kept = now
+    before = spark.conf.get(corpus_pipeline.BATCH)
     packed = corpus_pipeline.run(spark, folder)
+    assert spark.conf.get(corpus_pipeline.BATCH) == before
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == kept
