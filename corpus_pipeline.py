@@ -3,37 +3,52 @@
 Each stage takes the documents its predecessor kept and returns those it keeps, with the columns of
 documents; the last returns packed pieces. Stages are written as Parquet in the shared folder. Null
 texts pass the first stage and are rejected by the second, having no language; empty tables stay empty.
-Rows that share a doc_id stay or go together, and a null doc_id is never a duplicate.
+Every document is judged by itself, also where ids are null or repeated: contamination follows from the text, and
+of near-duplicates the one of least id, then digest, stays. Only rows that repeat both id and text stay or go together.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from public_tokenizers import path
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconry.llm import decontaminate, language, packing, simhash, toxicity
-from beaconry.llm.common import fold, sampled, stored, table
+from beaconry.llm.common import fold, plain_text, sampled, stored, table
 from beaconry.llm.queries import labelled
 from beaconry.session import prepare
 
+#: The setting of how many rows a stage hands to Python at once, and its value here. Texts may be long.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
-#: Rows that a stage hands to Python at once. Workers outlive stages, and texts may be long.
-BATCH_ROWS = 1000
+#: Most keys (of under a hundred bytes each in memory) that are broadcast.
+FEW = 500_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """The session with the library's settings and small batches for Python."""
-    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """The session with the library's settings and small batches for Python, which `run` takes back."""
+    prepare(spark).conf.set(BATCH, BATCH_ROWS)
     return spark
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """`docs` whose doc_id is not among `gone`.
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """`docs` whose `keys` are not a row of `gone`, nulls being equal.
 
-    The ids are written first, so that their true size tells Spark whether all texts must be shuffled to drop them.
+    Keys of what goes are written and counted first: up to `FEW` are broadcast, so that no text is shuffled to drop
+    them; more are joined as Spark sees fit.
     """
-    return docs.join(stored(gone.select("doc_id").distinct(), "pipeline-gone"), "doc_id", "left_anti").select(*docs.columns)
+    listed = stored(gone.select(*(F.col(k).alias(f"_gone_{k}") for k in keys)).distinct(), "pipeline-gone")
+    if listed.count() <= FEW:
+        listed = F.broadcast(listed)
+    same = reduce(lambda a, b: a & b, (c.eqNullSafe(F.col(f"_gone_{k}")) for k, c in keys.items()))
+    return docs.join(listed, same, "left_anti").select(*docs.columns)
+
+
+def digest() -> Column:
+    """Half of the text's SHA-256, in bytes."""
+    return F.unhex(F.substring(F.sha2(plain_text("text"), 256), 1, 32))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,16 +66,18 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates."""
+    """The document with the least doc_id of each group of near-duplicates; one without an id where none has one."""
     ready(spark)
-    found = simhash.near_duplicates(docs)
-    return without(docs, found.where(F.col("doc_id") != F.col("component_id")))
+    who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", digest().alias("digest"))
+    found = simhash.near_duplicates(docs.select(who.alias("who"), "text"), "who")
+    gone = found.where(F.col("who") != F.col("component_id")).select("who.doc_id", "who.digest")
+    return without(docs, gone, {"doc_id": F.col("doc_id"), "digest": digest()})
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which under a twentieth lies in benchmark passages."""
-    found = decontaminate.contamination(docs, table(ready(spark), sf_dir, "benchmark"))
-    return without(docs, found.where("contaminated"))
+    found = decontaminate.contamination(docs.select(digest().alias("digest"), "text"), table(ready(spark), sf_dir, "benchmark"), "digest")
+    return without(docs, found.where("contaminated"), {"digest": digest()})
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,8 +99,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = table(ready(spark), sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    """The rows of the last stage. The session's batches are as they were when it is done."""
+    before = spark.conf.get(BATCH)
+    try:
+        docs = table(ready(spark), sf_dir, "documents")
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
