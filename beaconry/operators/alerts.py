@@ -17,7 +17,14 @@ from beaconry.session import cut_lineage
 # The shortest evaluation window in seconds, and the slack of an equality (fixed values).
 MIN_WINDOW, EPSILON = 60, 2.220446049250313e-16
 
-_AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "count_distinct": F.count_distinct}
+#: By aggregate: the states that a pane keeps of a field, and the value of the panes of a window.
+_PANES = {
+    "count": ({"n": lambda v: F.count(F.lit(1))}, lambda s: F.sum(s["n"])),
+    "sum": ({"sum": F.sum}, lambda s: F.sum(s["sum"])),
+    "min": ({"min": F.min}, lambda s: F.min(s["min"])),
+    "max": ({"max": F.max}, lambda s: F.max(s["max"])),
+    "avg": ({"sum": F.sum, "n": F.count}, lambda s: F.try_divide(F.sum(s["sum"]), F.sum(s["n"]))),
+}
 
 
 def _since(rows: DataFrame, now: Column, seconds: int) -> DataFrame:
@@ -46,20 +53,39 @@ def threshold_values(
     columns, in `span_seconds` and in what they are compared with. The window ends now. Grouping
     by time is not offered: a bucket in the key would make every evaluation a new alert.
     `longest_seconds` bounds the rules' windows so that the scan can be pruned.
+
+    Rows are aggregated once, before any rule is looked at, in panes: as all windows end now, a pane is what lies in
+    the window of one span and in no shorter one, so a rule's window is whole panes, to the microsecond. The
+    distinct spans of all rules are one row. Rules then meet panes, and however many there are, rows are shuffled once.
     """
     labels = dict(labels or {})
-    value = F.count(F.lit(1)) if func == "count" else _AGGREGATES[func](col(field))
     if longest_seconds is not None:
         rows = _since(rows, now, longest_seconds)
-    span = F.greatest(F.col("span_seconds"), F.lit(MIN_WINDOW))
-    keyed = rules.select("tenant_id", "rule_id", "span_seconds", *match)
-    named = [c.alias(f"_l_{k}") for k, c in labels.items()]
-    inside = (F.col("observed_at") >= now - F.make_dt_interval(secs=span)) & (F.col("observed_at") < now)
-    values = (
+    span = F.greatest(F.col("span_seconds"), F.lit(MIN_WINDOW)).cast("bigint")
+    keyed = rules.select("tenant_id", "rule_id", span.alias("_span"), *match)
+    spans = keyed.agg(F.sort_array(F.collect_set("_span")).alias("_spans"))
+    age = F.unix_micros(now) - F.unix_micros("observed_at")
+    key = ["tenant_id", *match, "resource_id", *(f"_l_{k}" for k in labels)]
+    paned = (
         rows.where(F.col("observed_at") < now)
-        .join(keyed, ["tenant_id", *match])
-        .where(inside)
-        .groupBy("tenant_id", "rule_id", "resource_id", *named)
+        .withColumns({f"_l_{k}": c for k, c in labels.items()})
+        .withColumns({"_v": F.lit(1) if func == "count" else col(field)})
+        .crossJoin(F.broadcast(spans))  # one row
+        .withColumn("_pane", F.get(F.filter("_spans", lambda s: s * 1_000_000 >= age), F.lit(0)))
+        .where(F.col("_pane").isNotNull())
+    )
+    if func == "count_distinct":
+        # A value counts from the first pane that has it.
+        panes = paned.where(F.col("_v").isNotNull()).groupBy(*key, "_v").agg(F.min("_pane").alias("_pane"))
+        value = F.count(F.lit(1))
+    else:
+        states, whole = _PANES[func]
+        panes = paned.groupBy(*key, "_pane").agg(*(make("_v").alias(f"_s_{s}") for s, make in states.items()))
+        value = whole({s: F.col(f"_s_{s}") for s in states})
+    values = (
+        panes.join(keyed, ["tenant_id", *match])
+        .where(F.col("_pane") <= F.col("_span"))
+        .groupBy("tenant_id", "rule_id", "resource_id", *(f"_l_{k}" for k in labels))
         .agg(value.alias("value"))
         # No samples means no data, which is not zero.
         .where(F.col("value").isNotNull())

@@ -237,6 +237,32 @@ def _(t):
     return found[0].unionAll(found[1]).unionAll(found[2])
 
 
+# Requests in which one number is none: a time in logs and spans, a time or a value in metrics.
+@query(
+    "otlp_unreadable_numbers",
+    """WITH requests AS (SELECT 'logs' AS kind, doc_id AS id, 0 AS rn, doc_id % 4 AS fault, 2 AS records FROM logs
+         UNION ALL SELECT 'metrics', event_id, 0, event_id % 4, CASE WHEN event_id % 4 IN (1, 2) THEN 0 WHEN event_id % 7 = 0 THEN 0 ELSE 1 END + 1 FROM metrics
+         UNION ALL SELECT 'spans', l_orderkey, rn, (l_orderkey + rn) % 4, 1 FROM spans)
+       SELECT kind, id, rn, records, CASE WHEN fault = 1 THEN 'a time that is no number' WHEN fault = 2 AND kind = 'metrics' THEN 'a value that is no number' END AS reason FROM requests""",
+)
+def _(t):
+    found = []
+    for kind, text, id, rn, field, read in (
+        ("logs", _LOG_REQUEST, "doc_id", F.lit(0), "timeUnixNano", otlp.otlp_logs),
+        ("metrics", _METRIC_REQUEST, "event_id", F.lit(0), "timeUnixNano", otlp.otlp_metrics),
+        ("spans", _SPAN_REQUEST, "l_orderkey", F.col("rn"), "startTimeUnixNano", otlp.otlp_spans),
+    ):
+        fault = (F.col(id) + rn) % 4
+        spoil = lambda field: F.regexp_replace("payload", f'^(.*?"{field}":")[0-9]+', "$1oops")  # noqa: B023, E731
+        spoilt = t.sql(text).withColumn("payload", F.when(fault == 1, spoil(field)).when(fault == 2, spoil("asInt")).otherwise(F.col("payload")))
+        key = ["_id", "_rn"]
+        named = spoilt.withColumn("_id", F.col(id)).withColumn("_rn", rn.cast("bigint"))
+        rows = read(named).groupBy(*key).agg(F.count(F.lit(1)).alias("records"))
+        told = named.select(*key).join(rows, key, "left").join(otlp.unreadable(named, kind).select(*key, "reason"), key, "left")
+        found.append(told.select(F.lit(kind).alias("kind"), F.col("_id").alias("id"), F.col("_rn").alias("rn"), F.coalesce("records", F.lit(0)).alias("records"), "reason"))
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 # --- flows and readings ---
 
 _LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"

@@ -62,7 +62,7 @@ def snmp_scalars(readings: DataFrame, requests: DataFrame) -> DataFrame:
         matched.groupBy("tenant_id", "resource_id", "observed_at", "metric", "unit")
         .agg(best)
         .select(
-            "tenant_id", "resource_id", "observed_at", "metric", F.col("_best.value").cast("double").alias("value"),
+            "tenant_id", "resource_id", "observed_at", "metric", F.col("_best.value").try_cast("double").alias("value"),
             "unit", F.create_map().cast("map<string,string>").alias("labels"),
         )
     )
@@ -108,7 +108,7 @@ def snmp_interface_columns(readings: DataFrame, requests: DataFrame, names: Data
         F.lit("network.interface.index"), F.col("index"), F.lit("network.interface.name"), F.col("name")
     )
     return found.select(
-        "tenant_id", "resource_id", "observed_at", "metric", F.col("value").cast("double").alias("value"), "unit",
+        "tenant_id", "resource_id", "observed_at", "metric", F.col("value").try_cast("double").alias("value"), "unit",
         F.when(F.col("name").isNull(), index).otherwise(named).alias("labels"),
     )
 

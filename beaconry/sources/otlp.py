@@ -132,8 +132,8 @@ def attributes(pairs: Column) -> Column:
 
 
 def instant(nanos: Column) -> Column:
-    """A time from epoch nanoseconds; zero means it was not given."""
-    n = nanos.cast("decimal(20,0)")
+    """A time from epoch nanoseconds; zero, or what is no number, means it was not given."""
+    n = nanos.try_cast("decimal(20,0)")
     return F.when(n > 0, F.timestamp_millis(F.floor(n / 1_000_000).cast("long")))
 
 
@@ -160,12 +160,13 @@ def _records(requests: DataFrame, payload: str, schema: str, groups: str, scopes
 
 
 def unreadable(requests: DataFrame, kind: str, payload: str = "payload") -> DataFrame:
-    """The requests of a kind (logs, metrics, spans) of which something gives no rows as it cannot be read, with a reason.
+    """The requests of a kind (logs, metrics, spans) of which something cannot be read, with a reason.
 
     What is left out of the rows of that kind is here, payload and all, so nothing is lost; what can be
     read of such a request is among the rows too. A list with one element of another type reads as none,
-    and so does a list that is not there. Metrics of other kinds and points without a time are counted
-    by `otlp_metrics_unsupported`.
+    and so does a list that is not there. A time or an integer that is no number reads as not given: a log or span
+    keeps its row, marked as without a time, and a point has none. Metrics of other kinds, and points without a
+    time or a value, are counted by `otlp_metrics_unsupported`.
     """
     schema, groups, scopes, items = _PARTS[kind]
     within = F.flatten(F.transform(F.filter("_groups", lambda g: g[scopes].isNotNull()), lambda g: g[scopes]))
@@ -176,6 +177,17 @@ def unreadable(requests: DataFrame, kind: str, payload: str = "payload") -> Data
         unread = lambda m, data: m[data].isNotNull() & m[data].dataPoints.isNull()
         blank = lambda s: F.exists(s[items], lambda m: unread(m, "gauge") | unread(m, "sum"))
         partly = partly.when(F.exists(within, blank), "a metric without points")
+    wrong = lambda n, type="decimal(20,0)": n.isNotNull() & n.try_cast(type).isNull()
+    listed = F.flatten(F.transform(F.filter(within, lambda s: s[items].isNotNull()), lambda s: s[items]))
+    if kind == "metrics":
+        held = F.transform(listed, lambda m: F.coalesce(m.gauge.dataPoints, m["sum"].dataPoints))
+        points = F.flatten(F.filter(held, lambda p: p.isNotNull()))
+        partly = partly.when(F.exists(points, lambda p: wrong(p.timeUnixNano)), "a time that is no number").when(
+            F.exists(points, lambda p: p.asDouble.isNull() & wrong(p.asInt, "double")), "a value that is no number"
+        )
+    else:
+        times = ("timeUnixNano", "observedTimeUnixNano") if kind == "logs" else ("startTimeUnixNano", "endTimeUnixNano")
+        partly = partly.when(F.exists(listed, lambda r: wrong(r[times[0]]) | wrong(r[times[1]])), "a time that is no number")
     reason = (
         F.when(F.col("_groups").isNotNull(), partly)
         .when(F.col(payload).isNull(), "no payload")
@@ -218,6 +230,10 @@ def _points(requests: DataFrame, payload: str) -> DataFrame:
     return rows.withColumn("_points", F.coalesce("r.gauge.dataPoints", "r.sum.dataPoints"))
 
 
+def _point_value(point: Column) -> Column:
+    return F.coalesce(point.asDouble, point.asInt.try_cast("double"))
+
+
 def otlp_metrics(requests: DataFrame, payload: str = "payload", received: str = "received_at") -> DataFrame:
     """Metric rows from gauges and sums. Labels are the point's own attributes."""
     rows = _points(requests, payload).withColumn("p", F.explode("_points"))
@@ -225,7 +241,7 @@ def otlp_metrics(requests: DataFrame, payload: str = "payload", received: str =
     monotonic = maps.of({"otlp.monotonic": summed.cast("string")})
     return (
         rows.withColumn("observed_at", instant(F.col("p.timeUnixNano")))
-        .withColumn("value", F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double")))
+        .withColumn("value", _point_value(F.col("p")))
         .where(F.col("observed_at").isNotNull() & F.col("value").isNotNull())
         .withColumn("ingested_at", F.col(received))
         .withColumn("metric", F.col("r.name"))
@@ -236,10 +252,10 @@ def otlp_metrics(requests: DataFrame, payload: str = "payload", received: str =
 
 
 def otlp_metrics_unsupported(requests: DataFrame, payload: str = "payload") -> DataFrame:
-    """How much was not converted: metrics of other kinds, and points without a time."""
-    timeless = F.size(F.filter("_points", lambda p: instant(p.timeUnixNano).isNull()))
+    """How much was not converted: metrics of other kinds, and points without a time or a value."""
+    empty = F.size(F.filter("_points", lambda p: instant(p.timeUnixNano).isNull() | _point_value(p).isNull()))
     return _points(requests, payload).agg(
-        F.coalesce(F.sum(F.when(F.col("_points").isNull(), 1).otherwise(timeless)), F.lit(0)).alias("unsupported")
+        F.coalesce(F.sum(F.when(F.col("_points").isNull(), 1).otherwise(empty)), F.lit(0)).alias("unsupported")
     )
 
 
@@ -271,7 +287,7 @@ def sampling_probability(state: Column) -> Column:
 def otlp_spans(requests: DataFrame, payload: str = "payload", received: str = "received_at") -> DataFrame:
     """Span rows. A span that ends before it starts lasts nothing, and says so."""
     rows = _records(requests, payload, *_PARTS["spans"])
-    nanos = lambda c: F.coalesce(F.col(c).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    nanos = lambda c: F.coalesce(F.col(c).try_cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
     start, end = nanos("r.startTimeUnixNano"), nanos("r.endTimeUnixNano")
     at = instant(F.col("r.startTimeUnixNano"))
     marks = maps.of(
