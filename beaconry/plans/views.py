@@ -478,7 +478,7 @@ def _views(d: Dialect) -> dict[str, str]:
             FROM metrics""",
         "firings": f"""
             SELECT tenant_id, rule_id, resource_id, dedup_key, happened_at, evaluation_id
-            FROM evaluations WHERE breaching AND hold_seconds = 0""",
+            FROM evaluations WHERE breaching""",
     }
 
 

@@ -57,6 +57,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever store Spark writes to, if it is there."""
+    place, store = _hadoop(spark, path)
+    store.delete(place, True)
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders and files of that store whose paths match a pattern."""
+    place, store = _hadoop(spark, pattern)
+    return [found.getPath().toString() for found in store.globStatus(place) or ()]
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, for a stream's output and progress."""
     return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from beaconry.schemas import SIGNALS, columns
+from beaconry.session import matching, remove
 
 
 def conform(df: DataFrame, signal: str) -> DataFrame:
@@ -23,6 +25,13 @@ def conform(df: DataFrame, signal: str) -> DataFrame:
     )
 
 
+def _folder(value: str) -> str:
+    """A batch's name as it stands in a path; one that would be escaped there is refused."""
+    if not re.fullmatch(r"[\w.\-]+", value):
+        raise ValueError(f"a batch's name holds letters, digits, '_', '-' and '.', not {value!r}")
+    return value
+
+
 def write_signal(df: DataFrame, signal: str, path: str, batch: str | None = None) -> None:
     """Append typed rows, or write again those of a batch of the same name.
 
@@ -30,9 +39,16 @@ def write_signal(df: DataFrame, signal: str, path: str, batch: str | None = None
     that row-group statistics can skip, and a resource with very many rows is split by time instead
     of filling one task. Trace ids get a bloom filter where the signal has them. A day's folder holds one
     folder of each batch, which a repeat of the batch replaces; without a name each call is a batch of its own.
+    A repeat also deletes the batch's folders of days that it has no rows of, before it writes.
     """
     key = ["tenant_id", "resource_id", *(c for c in ("metric",) if c in columns(signal)), "observed_at"]
     rows = conform(df, signal).withColumn("event_date", F.to_date("observed_at"))
+    earlier = [] if batch is None else matching(df.sparkSession, f"{path}/event_date=*/batch={_folder(f'b-{batch}')}")
+    if earlier:
+        days = {str(r[0]) for r in rows.select("event_date").distinct().collect()}  # a row for each day of one batch
+        for folder in earlier:
+            if folder.split("/event_date=")[-1].split("/")[0] not in days:
+                remove(df.sparkSession, folder)
     rows = rows.repartitionByRange("event_date", *key).sortWithinPartitions("event_date", *key)
     rows = rows.withColumn("batch", F.lit(f"own-{uuid.uuid4().hex}" if batch is None else f"b-{batch}"))
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch")
