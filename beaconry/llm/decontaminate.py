@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from beaconry.llm.common import Kept, columns, plain_text, stored
+from beaconry.llm.common import Kept, columns, plain_text, released, stored
 
 #: Bits of the map of item shingles: 2 MB, whatever the items.
 MAP_BITS = 24
@@ -127,7 +127,7 @@ def contamination(
         yield from decontaminate._word_batches(batches)
 
     source = items.select(F.col(item_key).cast("string").alias("item"), plain_text(item_text).alias("_text"))
-    lists = stored(source.mapInArrow(split, "item string, words array<string>").where(F.size("words") > 0), "item-words")
+    lists = stored(source.mapInArrow(released(split), "item string, words array<string>").where(F.size("words") > 0), "item-words")
     shortest = lists.agg(F.min(F.least(F.size("words"), F.lit(window)))).first()[0] or window
     size = min(shingle, shortest)
     least = shortest - size + 1
@@ -138,7 +138,7 @@ def contamination(
         yield from decontaminate._place_batches(batches, size)
 
     bitmap = (
-        lists.mapInArrow(places, "place bigint").groupBy(F.shiftright("place", 15).alias("bucket"))
+        lists.mapInArrow(released(places), "place bigint").groupBy(F.shiftright("place", 15).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
     )
     marked = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
@@ -155,7 +155,7 @@ def contamination(
     run_kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))]))
     schema = T.StructType([docs.schema[key], T.StructField("n_words", T.LongType()), T.StructField("runs", run_kind)])
     scanned = stored(
-        docs.select(key, plain_text(text).alias("_text")).mapInArrow(scan, schema).withColumn("row", F.monotonically_increasing_id()),
+        docs.select(key, plain_text(text).alias("_text")).mapInArrow(released(scan), schema).withColumn("row", F.monotonically_increasing_id()),
         "document-runs",
     )
 

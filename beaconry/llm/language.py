@@ -130,15 +130,12 @@ def identify(docs: DataFrame, model: bytes | None, text: str = "text", out: str
     Texts that are null or hold no letter are `und`, score 0, ambiguous; so are all without a model. Every row is read by
     itself, whole; a column named like `out` is replaced.
     """
-    scorers = {}
 
-    def run(texts):
+    def scorer():
         from beaconry.llm.language import Scorer
 
         if model is None:
-            return [{"lang": "und", "score": 0.0, "ambiguous": True} for _ in texts]
-        if not scorers:
-            scorers[0] = Scorer(model, sure)
-        return scorers[0](texts)
+            return lambda texts: [{"lang": "und", "score": 0.0, "ambiguous": True} for _ in texts]
+        return Scorer(model, sure)
 
-    return scored(docs, text, out, KIND, run)
+    return scored(docs, text, out, KIND, scorer)

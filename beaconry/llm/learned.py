@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from beaconry.llm.common import give_back, released
 
 #: Characters of all texts together that one model is fitted to.
 CHARACTERS = 96 << 20
@@ -28,18 +29,22 @@ def fit(sample: DataFrame, train: Callable[[list, list], bytes], text: str, targ
                     held += len(own)
                     texts.append(own)
                     targets.append(wanted)
+        give_back()  # what Arrow held of the batches, before the fit needs room
         if texts:
             yield pa.RecordBatch.from_arrays([pa.array([train(texts, targets)], pa.binary())], names=["model"])
 
     rows = (
         sample.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(target).alias("target"))
-        .repartition(1).sortWithinPartitions(F.xxhash64("text"), "target", "text").mapInArrow(run, "model binary").collect()
+        .repartition(1).sortWithinPartitions(F.xxhash64("text"), "target", "text").mapInArrow(released(run), "model binary").collect()
     )
     return bytes(rows[0]["model"]) if rows else None
 
 
-def scored(docs: DataFrame, text: str, out: str, kind: T.DataType, score: Callable[[list], list]) -> DataFrame:
-    """All columns of `docs` and `out`, a struct from `score(texts)`; a column of that name is replaced."""
+def scored(docs: DataFrame, text: str, out: str, kind: T.DataType, scorer: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """All columns of `docs` and `out`, a struct; a column of that name is replaced.
+
+    Each task has its own `scorer()`, which gives structs for texts and goes when the task ends.
+    """
     rest = [c for c in docs.columns if c != out]
     schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(out, kind)])
     place = rest.index(text)
@@ -47,9 +52,9 @@ def scored(docs: DataFrame, text: str, out: str, kind: T.DataType, score: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        arrow = to_arrow_type(kind)
+        arrow, score = to_arrow_type(kind), scorer()
         for batch in batches:
             found = pa.array(score(batch.column(place).to_pylist()), arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(released(run), schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from beaconry.llm.common import columns, slices, stored
+from beaconry.llm.common import columns, released, slices, stored
 
 #: Pieces of one length that are ranked together, about.
 RANKED = 50_000
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end: int, key: str = "doc
 
     fields = [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]
     source = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    return source.mapInArrow(scan, T.StructType([T.StructField(key, kind), *fields]))
+    return source.mapInArrow(released(scan), T.StructType([T.StructField(key, kind), *fields]))
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, dict[int, int]]]:

@@ -101,15 +101,12 @@ def score(docs: DataFrame, model: bytes | None, text: str = "text", out: str = "
     Null and empty texts have the beginning alone. Without a model all scores are one half. Every row is scored by
     itself; a column named like `out` is replaced.
     """
-    scorers = {}
 
-    def run(texts):
+    def scorer():
         from beaconry.llm.quality import Scorer
 
         if model is None:
-            return [{"score": 0.5} for _ in texts]
-        if not scorers:
-            scorers[0] = Scorer(model)
-        return scorers[0](texts)
+            return lambda texts: [{"score": 0.5} for _ in texts]
+        return Scorer(model)
 
-    return scored(docs, text, out, KIND, run)
+    return scored(docs, text, out, KIND, scorer)

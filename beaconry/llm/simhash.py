@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from beaconry.llm.common import columns, component_ids, groups_of, roots, stored
+from beaconry.llm.common import columns, component_ids, groups_of, released, roots, stored
 
 #: Reference fingerprints (multiples of the golden ratio's 64-bit fraction, mixed), and the parts of a fingerprint.
 PIVOTS = 16
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             yield pa.RecordBatch.from_arrays([ids, pa.array(found.view(np.int64))], names=[key, "fp"])
 
     schema = T.StructType([T.StructField(key, kind), T.StructField("fp", T.LongType())])
-    return docs.select(key, text).mapInArrow(scan, schema)
+    return docs.select(key, text).mapInArrow(released(scan), schema)
 
 
 def _masks(parts: int) -> list[int]:
@@ -179,7 +179,7 @@ def edges(prints: DataFrame, within: int = 3) -> DataFrame:
     return (
         met.repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j", "fp")
-        .mapInArrow(verify, "a bigint, b bigint")
+        .mapInArrow(released(verify), "a bigint, b bigint")
         .distinct()
     )
 

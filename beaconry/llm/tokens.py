@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconry.llm.common import ENTRY, columns, plain_text, slices
+from beaconry.llm.common import ENTRY, columns, plain_text, released, slices
 from beaconry.session import work_folder
 
 #: Characters that engines do not agree about as white space, and the start of special tokens.
@@ -177,7 +177,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
         .groupBy("_digest")
         .agg(F.first("_text").alias("_text"))
     )
-    missing.mapInArrow(count, "digest binary, n_tokens bigint").select(version.alias("version"), "digest", "n_tokens").write.mode(
+    missing.mapInArrow(released(count), "digest binary, n_tokens bigint").select(version.alias("version"), "digest", "n_tokens").write.mode(
         "append"
     ).parquet(cache)
     counts = read().groupBy("digest").agg(F.max("n_tokens").alias("_n"))

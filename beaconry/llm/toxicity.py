@@ -138,15 +138,12 @@ def score(docs: DataFrame, model: bytes | None, text: str = "text", out: str = "
     Places are bytes of the UTF-8 text. Null and empty texts are one empty sentence. Without a model all scores are
     zero. Every row is scored by itself; a column named like `out` is replaced.
     """
-    scorers = {}
 
-    def run(texts):
+    def scorer():
         from beaconry.llm.toxicity import Scorer
 
         if model is None:
-            return [{"score": 0.0, "sentences": []} for _ in texts]
-        if not scorers:
-            scorers[0] = Scorer(model, report)
-        return scorers[0](texts)
+            return lambda texts: [{"score": 0.0, "sentences": []} for _ in texts]
+        return Scorer(model, report)
 
-    return scored(docs, text, out, KIND, run)
+    return scored(docs, text, out, KIND, scorer)
