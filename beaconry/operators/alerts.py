@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
+from collections import deque
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from beaconry.functions.scalars import col
 from beaconry.functions.series import SLICE_SECONDS, with_previous, with_running_max, with_running_sum
@@ -17,6 +17,9 @@ from beaconry.session import cut_lineage
 # The shortest evaluation window in seconds, and the slack of an equality (fixed values).
 MIN_WINDOW, EPSILON = 60, 2.220446049250313e-16
 
+#: Seconds of a day, microseconds of a minute, and rounds of slices before a changing channel's slices become days.
+DAY, MINUTE, ROUNDS = 86_400, 60_000_000, 3
+
 #: By aggregate: the states that a pane keeps of a field, and the value of the panes of a window.
 _PANES = {
     "count": ({"n": lambda v: F.count(F.lit(1))}, lambda s: F.sum(s["n"])),
@@ -241,47 +244,87 @@ def notify_throttle(
 ) -> DataFrame:
     """Add `outcome` to attempts (tenant_id, channel_id, attempt_id, at): sent or why not.
 
-    `budgets` has budget_per_day and `channels` max_per_minute. An outcome depends on earlier ones,
-    so attempts are walked in order; they are walked a day at a time, joined to the day before only
-    where an attempt follows within a minute of midnight. The walk streams: what it holds is one
-    counter and a minute of sends per channel.
+    `budgets` has budget_per_day and `channels` max_per_minute; days are those of UTC. An outcome depends on earlier
+    ones, yet not on all: a channel's minute depends on that channel alone until the tenant's day is used up, and
+    nothing is sent from there to midnight. So slices of a channel's time are walked at once, each from the sends of
+    the minute before it (none, at first), and a running sum over the tenant's day says where the budget ends. What was
+    sent in the last minute of a slice is handed on, and slices that began with something else are walked again, until
+    every one began with what was left to it. Slices of a channel that still change after `ROUNDS` rounds, as where it
+    is held at its limit for hours, are taken together by days, so the rounds are bounded by the days of such a stretch.
     """
-    keyed = attempts.join(budgets, "tenant_id").join(channels, ["tenant_id", "channel_id"])
-    order = ["at", "attempt_id"]
-    rows = cut_lineage(with_previous(keyed, ["tenant_id"], order, ["at"], "_last", slice_seconds))
-    new_day = F.to_date("at") != F.to_date("_last.at")
-    apart = F.unix_millis("at") - F.unix_millis("_last.at") >= 60_000
-    cut = F.when(F.col("_last").isNull() | (new_day & apart), 1).otherwise(0)
-    rows = with_running_sum(rows, ["tenant_id"], order, cut, "_island", slice_seconds).drop("_last")
-    schema = StructType([*attempts.schema.fields, StructField("outcome", StringType())])
-    names = attempts.columns
-    fields = ["tenant_id", "_island", "channel_id", "at", "budget_per_day", "max_per_minute"]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, day, sent_today, recent = None, None, 0, {}
-        minute = dt.timedelta(minutes=1)
-        for batch in batches:
-            outcomes = []
-            for tenant, island, channel, at, budget, cap in batch[fields].itertuples(index=False):
-                if (tenant, island) != place:
-                    place, day, sent_today, recent = (tenant, island), None, 0, {}
-                if at.date() != day:
-                    day, sent_today = at.date(), 0
-                window = [s for s in recent.get(channel, ()) if s > at - minute]
-                if sent_today >= budget:
-                    outcome = "over_budget"
-                elif len(window) >= cap:
-                    outcome = "rate_limited"
-                else:
-                    outcome = "sent"
-                    sent_today += 1
-                    window.append(at)
-                recent[channel] = window
-                outcomes.append(outcome)
-            yield batch[names].assign(outcome=outcomes)
-
+    if DAY % slice_seconds:
+        raise ValueError("slices divide a day")
+    place, order = ["tenant_id", "channel_id", "_begin"], ["at", "attempt_id"]
+    second, micros = F.unix_seconds("at"), F.unix_micros("at")
+    none = F.array().cast("array<bigint>")
+    rows = (
+        attempts.join(budgets.select("tenant_id", F.col("budget_per_day").alias("_budget")), "tenant_id")
+        .join(channels.select("tenant_id", "channel_id", F.col("max_per_minute").alias("_cap")), ["tenant_id", "channel_id"])
+        .withColumn("_day", F.floor(second / DAY))
+        .withColumn("_begin", F.floor(second / slice_seconds) * slice_seconds)
+        .withColumns({"_until": F.col("_begin") + slice_seconds, "_at": micros, "_start": none})
+    )
+    used = F.col("_nth") - F.col("_free")
+    outcome = F.when(used >= F.col("_budget"), "over_budget").when(F.col("_free") == 0, "rate_limited").otherwise("sent")
+    # A send counts in the minute after it, and so in the next slice if that has an attempt so soon.
+    late = (F.col("outcome") == "sent") & (F.col("_at") > F.col("_until") * 1_000_000 - MINUTE)
+    walked, todo, rounds = None, None, 0
+    while True:
+        again = rows if walked is None else walked.drop("_free", "_start", "outcome").join(todo, place)
+        now = (
+            again.select(*rows.columns).repartition(*place).sortWithinPartitions(*place, *order)
+            .mapInArrow(_free_slots, StructType([*rows.schema.fields, StructField("_free", IntegerType())]))
+        )
+        if walked is not None:
+            now = now.unionByName(walked.drop("outcome").join(todo.select(*place), place, "left_anti"))
+        summed = with_running_sum(now, ["tenant_id", "_day"], order, F.col("_free"), "_nth", slice_seconds)
+        walked = cut_lineage(summed.withColumn("outcome", outcome).drop("_nth"))
+        rounds += 1
+        todo = _begun_otherwise(walked, place, late)
+        if todo.isEmpty():
+            break
+        if rounds >= ROUNDS:
+            days = todo.select("tenant_id", "channel_id", F.floor(F.col("_begin") / DAY).alias("_day"), F.lit(True).alias("_whole")).distinct()
+            whole = lambda instant, kept: F.when(F.col("_whole"), instant).otherwise(F.col(kept))
+            walked = cut_lineage(
+                walked.join(days, ["tenant_id", "channel_id", "_day"], "left")
+                .withColumns({
+                    "_begin": whole(F.col("_day") * DAY, "_begin"), "_until": whole((F.col("_day") + 1) * DAY, "_until"),
+                    "_start": whole(F.lit(None), "_start"),
+                })
+                .drop("_whole")
+            )
+            todo = _begun_otherwise(walked, place, late)
+        todo = cut_lineage(todo)
+    return walked.select(*attempts.columns, "outcome")
+
+
+def _begun_otherwise(walked: DataFrame, place: list[str], late: Column) -> DataFrame:
+    """Slices that were not walked from what the one before them left, and what that is (`_start`)."""
+    left = walked.where(late).groupBy(*place[:2], F.col("_until").alias("_begin")).agg(F.sort_array(F.collect_list("_at")).alias("_left"))
+    slices = walked.groupBy(*place).agg(F.min("_at").alias("_first"), F.first("_start").alias("_was"))
+    felt = F.filter(F.coalesce("_left", F.array().cast("array<bigint>")), lambda s: s > F.col("_first") - MINUTE)
     return (
-        rows.repartition("tenant_id", "_island")
-        .sortWithinPartitions("tenant_id", "_island", *order)
-        .mapInPandas(walk, schema)
+        slices.join(left, place, "left").withColumn("_start", felt)
+        .where(~F.col("_start").eqNullSafe(F.col("_was"))).select(*place, "_start")
     )
+
+
+def _free_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to sorted attempts 1 where fewer than `_cap` were sent in the minute before, else 0: budgets aside.
+
+    What is held is a minute of sends, at most `_cap`.
+    """
+    place, recent = None, deque()
+    for batch in batches:
+        free = []
+        fields = (batch.column(n).to_pylist() for n in ("tenant_id", "channel_id", "_begin", "_at", "_cap", "_start"))
+        for tenant, channel, begin, at, cap, start in zip(*fields, strict=True):
+            if (tenant, channel, begin) != place:
+                place, recent = (tenant, channel, begin), deque(start)
+            while recent and recent[0] <= at - MINUTE:
+                recent.popleft()
+            free.append(int(len(recent) < cap))
+            if free[-1]:
+                recent.append(at)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(free, pa.int32())], names=[*batch.schema.names, "_free"])

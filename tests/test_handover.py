@@ -1,11 +1,11 @@
-"""Incidents of a tenant that is never quiet: slices that are handed on give what one walk gives."""
+"""Incidents and budgets of a tenant that is never quiet: slices that are handed on give what one walk gives."""
 
 import datetime as dt
 import random
 
 import pytest
 
-from beaconry.operators import incidents
+from beaconry.operators import alerts, incidents
 
 T0 = dt.datetime(2026, 9, 1)
 EVENT = "tenant_id string, at timestamp, event_id string, kind string, rule_id string, resource_id string, dedup_key string"
@@ -84,3 +84,68 @@ def test_busy_and_quiet_tenants(spark):
     want = plain(events, edges)
     for seconds in (120, 3600):
         assert grouped(spark, events, edges, seconds) == want
+
+
+ATTEMPT = "tenant_id string, channel_id string, attempt_id long, at timestamp, label string"
+
+
+def throttled(attempts, budget, cap):
+    """One walk over each tenant's attempts in order."""
+    out, sent, recent = {}, {}, {}
+    for tenant, channel, number, at, _ in sorted(attempts, key=lambda a: (a[3], a[2])):
+        day, held = (tenant, at.date()), recent.setdefault((tenant, channel), [])
+        held[:] = [s for s in held if s > at - dt.timedelta(minutes=1)]
+        if sent.get(day, 0) >= budget[tenant]:
+            out[number] = "over_budget"
+        elif len(held) >= cap[channel]:
+            out[number] = "rate_limited"
+        else:
+            out[number] = "sent"
+            sent[day] = sent.get(day, 0) + 1
+            held.append(at)
+    return out
+
+
+def budgeted(spark, attempts, budget, cap, seconds):
+    budgets = spark.createDataFrame(list(budget.items()), "tenant_id string, budget_per_day int")
+    channels = spark.createDataFrame([(t, c, n) for t in budget for c, n in cap.items()], "tenant_id string, channel_id string, max_per_minute int")
+    got = alerts.notify_throttle(spark.createDataFrame(attempts, ATTEMPT), budgets, channels, seconds)
+    assert got.columns == ["tenant_id", "channel_id", "attempt_id", "at", "label", "outcome"]
+    return {r.attempt_id: r.outcome for r in got.collect()}
+
+
+def test_budgets_of_a_month_without_quiet(spark):
+    """One channel attempts every minute or less for a month; every slice is its own group of a task."""
+    rng, at, attempts = random.Random(6), T0, []
+    while at < T0 + dt.timedelta(days=30):
+        attempts.append(("t", "c", len(attempts), at, None))
+        at += dt.timedelta(seconds=rng.choice([25, 40, 59, 60]))
+    want = throttled(attempts, {"t": 900}, {"c": 1})
+    assert set(want.values()) == {"sent", "rate_limited", "over_budget"}
+    assert budgeted(spark, attempts, {"t": 900}, {"c": 1}, 6 * 3600) == want
+
+
+def test_budgets_of_channels_held_at_their_limit(spark):
+    """Storms over hours and midnights, at a rate whose phase never meets: with a budget that ends in the last minute
+    of a day, one that never ends, and none; equal instants, several sends a minute, and a cap of nothing."""
+    rng, attempts = random.Random(7), []
+    for tenant, channel, step, hours in (("t", "a", 7, 52), ("t", "b", 31, 30), ("u", "a", 11, 50), ("u", "none", 600, 20), ("v", "b", 60, 5)):
+        at = T0 + dt.timedelta(hours=18, seconds=rng.randrange(60))
+        end = at + dt.timedelta(hours=hours)
+        while at < end:
+            attempts.append((tenant, channel, len(attempts), at, "x"))
+            if rng.random() < 0.05:
+                attempts.append((tenant, channel, len(attempts), at, None))
+            at += dt.timedelta(seconds=step, milliseconds=rng.randrange(3))
+    cap = {"a": 2, "b": 1, "none": 0}
+    spent = throttled(attempts, {"t": 10**6, "u": 10**6, "v": 0}, cap)
+    first_day = sum(spent[n] == "sent" for t, _, n, at, _ in attempts if t == "t" and at.date() == T0.date())
+    for budget in ({"t": first_day - 1, "u": 10**6, "v": 0}, {"t": first_day, "u": 1500, "v": 3}):
+        want = throttled(attempts, budget, cap)
+        assert budgeted(spark, attempts, budget, cap, 1800) == want
+
+
+def test_slices_divide_a_day(spark):
+    with pytest.raises(ValueError):
+        budgeted(spark, [("t", "c", 1, T0, None)], {"t": 1}, {"c": 1}, 7000)
+    assert budgeted(spark, [("w", "c", 1, T0, None)], {"t": 1}, {"c": 1}, 3600) == {}
