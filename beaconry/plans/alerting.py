@@ -194,11 +194,25 @@ query(
     )
 )
 
-# --- notifications: outcomes depend on earlier outcomes, so there is no SQL for them ---
+# --- notifications: outcomes depend on earlier outcomes, so the checking SQL walks a tenant's attempts by recursion ---
 
 _BUDGETS = "SELECT DISTINCT tenant_id, 40 AS budget_per_day FROM attempts"
 _CHANNELS = "SELECT DISTINCT tenant_id, channel_id, 2 AS max_per_minute FROM attempts"
-query("notify_throttle")(
+_THROTTLED = """WITH RECURSIVE ranked AS MATERIALIZED (SELECT tenant_id, channel_id, attempt_id, epoch_us(happened_at) AS us,
+      row_number() OVER (PARTITION BY tenant_id ORDER BY happened_at, attempt_id) AS n FROM attempts),
+    walked AS (
+      SELECT DISTINCT tenant_id, NULL::VARCHAR AS channel_id, NULL::BIGINT AS attempt_id, 0::BIGINT AS n, 0::BIGINT AS day, 0::BIGINT AS sent,
+        []::STRUCT(channel VARCHAR, us BIGINT)[] AS held, NULL::VARCHAR AS outcome FROM ranked
+      UNION ALL
+      SELECT tenant_id, channel_id, attempt_id, n, day, before + CASE outcome WHEN 'sent' THEN 1 ELSE 0 END,
+        CASE outcome WHEN 'sent' THEN list_append(live, {'channel': channel_id, 'us': us}) ELSE live END, outcome
+      FROM (SELECT *, CASE WHEN before >= 40 THEN 'over_budget' WHEN len(list_filter(live, lambda h: h.channel = channel_id)) >= 2
+            THEN 'rate_limited' ELSE 'sent' END AS outcome
+        FROM (SELECT r.*, r.us // 86400000000 AS day, CASE WHEN r.us // 86400000000 = w.day THEN w.sent ELSE 0 END AS before,
+              list_filter(w.held, lambda h: h.us > r.us - 60000000) AS live
+            FROM walked AS w JOIN ranked AS r ON r.tenant_id = w.tenant_id AND r.n = w.n + 1)))
+    SELECT tenant_id, channel_id, attempt_id, outcome FROM walked WHERE n > 0"""
+query("notify_throttle", _THROTTLED)(
     lambda t: alerts.notify_throttle(t.attempts.withColumnRenamed("happened_at", "at"), t.sql(_BUDGETS), t.sql(_CHANNELS)).select(
         "tenant_id", "channel_id", "attempt_id", "outcome"
     )
