@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from beaconry.functions.scalars import col
 
@@ -27,7 +28,10 @@ def exact_quantiles(
     count: str | None = None,
     flags: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per group with a column for each named quantile. Null values are ignored.
+    """One row per group with a column for each named quantile, a double. Null values are ignored.
+
+    Integers are ordered and counted as they are, and interpolated exactly before the result is rounded to a double, so
+    that those beyond 2^53 that share a double stay apart.
 
     `count` names a column for the number of values, and `flags` adds sums of 0/1 columns, both
     from the same pass.
@@ -40,17 +44,21 @@ def exact_quantiles(
     rows = df if keys else df.withColumn("_all", F.lit(1))
     # Flags are part of the counting key, so both readers of `counts` share one shuffle.
     flag_keys = [f"_flag_{f}" for f in flags]
-    magnitude = F.floor(F.log2(F.lit(1.0) + F.abs(F.col("_v"))) * BANDS_PER_OCTAVE)
+    # Rounding to a double keeps the order, so it serves for bands of integers too.
+    rough = F.col("_v").cast("double")
+    magnitude = F.floor(F.log2(F.lit(1.0) + F.abs(rough)) * BANDS_PER_OCTAVE)
+    number = rows.select(col(value).alias("_v")).schema["_v"].dataType
+    whole = isinstance(number, IntegralType)
     counts = (
         rows.select(
             *by,
-            col(value).cast("double").alias("_v"),
+            col(value).cast("bigint" if whole else "double").alias("_v"),
             *(F.coalesce(c, F.lit(0)).alias(k) for k, c in zip(flag_keys, flags.values(), strict=True)),
         )
         .where(F.col("_v").isNotNull())
         .groupBy(*by, "_v", *flag_keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_band", (F.signum("_v") * magnitude).cast("long"))
+        .withColumn("_band", (F.signum(rough) * magnitude).cast("long"))
     )
     group = Window.partitionBy(*by)
     upto = group.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)
@@ -111,7 +119,12 @@ def exact_quantiles(
     for i, n in enumerate(names):
         low, high = F.col(f"_s{2 * i}"), F.col(f"_s{2 * i + 1}")
         weight = position(quantiles[n]) - F.floor(position(quantiles[n]))
-        picked = picked.withColumn(n, F.when(low == high, low).otherwise(low * (1 - weight) + high * weight))
+        if whole:
+            step = high.cast("decimal(20,0)") - low.cast("decimal(20,0)")
+            between = (low.cast("decimal(38,9)") + step * weight.cast("decimal(10,9)")).cast("double")
+        else:
+            between = low * (1 - weight) + high * weight
+        picked = picked.withColumn(n, F.when(low == high, low.cast("double")).otherwise(between))
     counted = [F.col("_total").alias(count)] if count else []
     flagged = [F.col(f"_sum{k}").alias(f) for k, f in zip(flag_keys, flags, strict=True)]
     return picked.select(*keys, *counted, *flagged, *names)

@@ -121,7 +121,8 @@ def aggregate(
         elif agg.func in QUANTILES and not agg.exact:
             plain.append(F.approx_percentile(fields[alias], QUANTILES[agg.func]).alias(alias))
         elif agg.func in QUANTILES:
-            source = str(agg.field) if isinstance(agg.field, str) else alias
+            # Expressions that read alike are one source; sources of one pass are few, so their text decides.
+            source = str(agg.field)
             exact.setdefault(source, {})[alias] = QUANTILES[agg.func]
         else:
             raise ValueError(f"unknown aggregate {agg.func!r}")

@@ -70,6 +70,15 @@ query(
         rollups.rollup_flows_5m(t.flows), ["tenant_id", "src_address", "sampling_rate"]
     )
 )
+# So few values a group that the sketches still hold them one by one.
+query(
+    "read_rollup_distinct",
+    "SELECT tenant_id, metric, count(DISTINCT resource_id) AS \"distinct\" FROM metrics GROUP BY ALL",
+)(
+    lambda t: rollups.read_rollup_distinct(
+        rollups.rollup_distinct_5m(t.metrics, ["tenant_id", "metric"], "resource_id"), ["tenant_id", "metric"]
+    )
+)
 # Sketch quantiles are approximate, so there is no SQL to compare them with.
 query("read_rollup_service")(
     lambda t: rollups.read_rollup_service(rollups.rollup_service_5m(t.spans), ["tenant_id", "service_id"])

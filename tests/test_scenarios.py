@@ -5,6 +5,7 @@ import json
 import os
 import random
 import time
+from fractions import Fraction
 
 import pandas as pd
 import pytest
@@ -128,6 +129,30 @@ def test_exact_quantiles(spark):
     assert got.count() == 4, "a null key is a group, and a group without values is none"
 
 
+def test_exact_quantiles_of_long_integers(spark):
+    """Neighbours beyond 2^53 share a double, and the range of a long has no room for their differences."""
+    big = 2**53
+    data = [("near", big + i) for i in range(9)] + [("far", -(2**63)), ("far", 2**63 - 1), ("far", 7)] + [("two", big + 1), ("two", big + 4)]
+    df = frame(spark, data * 2, "g string, v long")
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"lo": 0.25, "mid": 0.5, "hi": 0.75}, count="n").collect()}
+    assert {g: r.n for g, r in got.items()} == {"near": 18, "far": 6, "two": 4}
+    for g, r in got.items():
+        v = sorted(x for k, x in data * 2 if k == g)
+        for name, q in (("lo", Fraction(1, 4)), ("mid", Fraction(1, 2)), ("hi", Fraction(3, 4))):
+            place = q * (len(v) - 1)
+            low = v[int(place)]
+            want = low + (v[min(int(place) + 1, len(v) - 1)] - low) * (place - int(place))
+            assert r[name] == float(want)
+
+
+def test_one_pass_for_quantiles_of_one_expression(spark):
+    df = frame(spark, [("a", i) for i in range(11)], "g string, v long")
+    asked = lambda *names: query.aggregate(df, {n: query.Agg(n, F.col("v") * 2) for n in names}, ["g"], ["g"])
+    read = lambda got: got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert rows(asked("p50", "p95"), "g", "p50", "p95") == [("a", 10.0, 19.0)]
+    assert read(asked("p50", "p95", "p99")) == read(asked("p50"))
+
+
 def test_first_per_group(spark):
     df = spark.range(1000).withColumn("k", F.when(F.col("id") % 10 < 9, "hot").otherwise("cold"))
     got = series.first_per_group(df, ["k"], [F.col("id").desc()], 3)
@@ -165,6 +190,27 @@ def test_a_change_out_of_maintenance_is_swallowed_once(spark):
     assert rows(got, "previous_status", "current_status", "severity") == [("down", "up", "info")]
 
 
+def test_distinct_in_merged_states(spark):
+    """Sketches of five minutes, merged over repeats and buckets, stay within three standard errors of the truth."""
+    days = spark.range(400_000).select(
+        (F.col("id") % 2).cast("string").alias("tenant_id"), F.when(F.col("id") % 10 > 0, F.col("id") % 60_000).alias("user"),
+        F.timestamp_seconds(F.col("id") % 7200).alias("observed_at"),
+    )
+    state = rollups.rollup_distinct_5m(days, ["tenant_id"], "user")
+    assert state.count() == 48
+    merged = rollups.merge_states("distinct", state.unionByName(state))
+    assert merged.count() == 48
+    exact = {r.tenant_id: r.n for r in days.groupBy("tenant_id").agg(F.count_distinct("user").alias("n")).collect()}
+    for r in rollups.read_rollup_distinct(merged, ["tenant_id"]).collect():
+        assert abs(r["distinct"] - exact[r.tenant_id]) <= 3 * 1.04 / 2**6 * exact[r.tenant_id]
+    few = days.where("user < 50 or user is null")
+    got = rollups.read_rollup_distinct(rollups.rollup_distinct_5m(few, ["tenant_id"], "user"), ["tenant_id"])
+    want = few.groupBy("tenant_id").agg(F.count_distinct("user").alias("n"))
+    assert rows(got, "tenant_id", "distinct") == rows(want, "tenant_id", "n")
+    with pytest.raises(ValueError):
+        rollups.read_rollup_distinct(merged, ["user"])
+
+
 def test_rollups(spark):
     schema = "tenant_id string, resource_id string, observed_at timestamp, src_address string, dst_address string, dst_port int, protocol int, sampling_rate long, bytes long, packets long"
     flows = frame(spark, [("t", "r", at(i), "a", "b", 1, 6, rate, 10, 1) for i, rate in enumerate([1, 64, 64])], schema)
