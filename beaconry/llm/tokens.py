@@ -22,9 +22,12 @@ _WORDS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
 _BEYOND_LATIN = re.compile("[^\t\n\r -~\xa1-įı-ɏ]|<\\|")
+_LETTERS_ONLY = re.compile(f"[{_LETTERS}]+").fullmatch
 _GAPS = re.compile(r"\s*\S+|\s+").findall
 #: Bytes of pieces and values that one encoder keeps, and the longest piece worth keeping.
 KEPT, LONGEST = 80 << 20, 80
+#: Words that go to the library as one text.
+TOGETHER = 100
 
 _models: dict = {}
 
@@ -74,6 +77,19 @@ def _shape(path: str) -> Callable[[str], list[str]] | None:
     return None
 
 
+def _word_ends(path: str) -> list[bool]:
+    """By id, whether it ends a word; empty where the tokenizer's file does not mark that in its tokens."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix = model.get("end_of_word_suffix")
+    if not suffix:
+        return []
+    ends = [False] * (max(model["vocab"].values()) + 1)
+    for token, i in model["vocab"].items():
+        ends[i] = token.endswith(suffix)
+    return ends
+
+
 def _library(path: str) -> Callable[[list[str]], list[list[int]]]:
     """What the library of the tokenizer's file gives for texts."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -102,10 +118,30 @@ class Encoder:
     def __init__(self, path: str, value: Callable[[list[int]], object]):
         if path not in _models:
             _models.clear()
-            _models[path] = _shape(path), _library(path)
-        self.cut, self.ids = _models[path]
+            cut = _shape(path)
+            _models[path] = cut, _library(path), _word_ends(path) if cut is latin_pieces else []
+        self.cut, self.ids, self.ends = _models[path]
         self.value, self.known, self.held = value, {}, 0
 
+    def encoded(self, new: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """The ids of each piece, in any order.
+
+        Words of letters are encoded as texts of `TOGETHER` words, and cut after every id that ends a word: each
+        word has at least one such id, so where their number is that of the words, each has just one.
+        """
+        rest = new
+        if self.ends:
+            rest, ends = [p for p in new if not _LETTERS_ONLY(p)], self.ends
+            words = list(filter(_LETTERS_ONLY, new))
+            groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+            for group, ids in zip(groups, self.ids([" ".join(g) for g in groups]), strict=True):
+                cuts = [i for i, n in enumerate(ids, 1) if ends[n]]
+                if len(cuts) != len(group) or cuts[-1] != len(ids):
+                    rest += group
+                    continue
+                yield from zip(group, (ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True)
+        yield from zip(rest, self.ids(rest), strict=True)
+
     def __call__(self, texts: list[str]) -> Iterator[list]:
         """For each text the values of its pieces, in order."""
         if self.cut is None:
@@ -114,13 +150,13 @@ class Encoder:
         pieces = [self.cut(t) for t in texts]
         distinct = set().union(*pieces)
         known = self.known
-        new = [p for p in distinct if p not in known]
+        new = list(distinct.difference(known))
         self.held += sum(map(len, new)) + ENTRY * len(new)
         if self.held > KEPT:
             known.clear()
             new = list(distinct)
             self.held = sum(map(len, new)) + ENTRY * len(new)
-        known.update(zip(new, map(self.value, self.ids(new)), strict=True))
+        known.update((p, self.value(ids)) for p, ids in self.encoded(new))
         for p in pieces:
             yield list(map(known.__getitem__, p))
         for p in new:
