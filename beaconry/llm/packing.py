@@ -19,14 +19,10 @@ from beaconry.llm.common import columns, released, slices, stored
 RANKED = 50_000
 
 
-def _bytes(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
-
-
 def _piece_batches(batches: Iterator[pa.RecordBatch], key: str, path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
     from beaconry.llm.tokens import Encoder
 
-    encode, tail = Encoder(path, _bytes), _bytes([end])
+    encode, tail = Encoder(path, array.tobytes), array("I", [end]).tobytes()
     names = [key, "start", "length", "ids_crc32", "doc_tokens"]
     for batch in batches:
         (texts,) = columns(batch, "_text")

@@ -6,8 +6,11 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +23,8 @@ _UNSURE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028
 #: The pattern of the word tokenizer's file, and what it matches in Latin texts (fixed values).
 _WORDS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
-_BEYOND_LATIN = re.compile("[^\t\n\r -~\xa1-įı-ɏ]|<\\|")
+_WORD = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
+_BEYOND_LATIN = re.compile("[^\t\n\r -~\xa1-įı-ɏ]").search
 _LETTERS_ONLY = re.compile(f"[{_LETTERS}]+").fullmatch
 _GAPS = re.compile(r"\s*\S+|\s+").findall
 #: Bytes of pieces and values that one encoder keeps, and the longest piece worth keeping.
@@ -51,9 +54,11 @@ def word_pieces(text: str) -> list[str]:
 def latin_pieces(text: str) -> list[str]:
     """A text in lower case, cut by `_WORDS_AND_MARKS`; at spaces only where it holds more than Latin letters.
 
-    These texts are normalised already, and every character's class and lower case are plain.
+    These texts are normalised already, and every character's class and lower case are plain. The text in lower case is
+    looked at, as some capitals of the Latin letters have small ones beyond them.
     """
-    return word_pieces(text) if _BEYOND_LATIN.search(text) else _WORD(text.lower())
+    lower = text.lower()
+    return word_pieces(text) if "<|" in text or _BEYOND_LATIN(lower) else _WORD(lower)
 
 
 def _shape(path: str) -> Callable[[str], list[str]] | None:
@@ -77,14 +82,14 @@ def _shape(path: str) -> Callable[[str], list[str]] | None:
     return None
 
 
-def _word_ends(path: str) -> list[bool]:
-    """By id, whether it ends a word; empty where the tokenizer's file does not mark that in its tokens."""
+def _word_ends(path: str) -> np.ndarray | None:
+    """By id, whether it ends a word; none where the tokenizer's file does not mark that in its tokens."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     suffix = model.get("end_of_word_suffix")
     if not suffix:
-        return []
-    ends = [False] * (max(model["vocab"].values()) + 1)
+        return None
+    ends = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
     for token, i in model["vocab"].items():
         ends[i] = token.endswith(suffix)
     return ends
@@ -115,54 +120,63 @@ class Encoder:
     the library's model, as large as its file, stays in the worker.
     """
 
-    def __init__(self, path: str, value: Callable[[list[int]], object]):
+    def __init__(self, path: str, value: Callable[[array], object]):
         if path not in _models:
             _models.clear()
             cut = _shape(path)
-            _models[path] = cut, _library(path), _word_ends(path) if cut is latin_pieces else []
+            _models[path] = cut, _library(path), _word_ends(path) if cut is latin_pieces else None
         self.cut, self.ids, self.ends = _models[path]
         self.value, self.known, self.held = value, {}, 0
 
-    def encoded(self, new: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """The ids of each piece, in any order.
+    def encoded(self, new: set[str]) -> dict[str, object]:
+        """The values of the ids of each piece.
 
         Words of letters are encoded as texts of `TOGETHER` words, and cut after every id that ends a word: each
         word has at least one such id, so where their number is that of the words, each has just one.
         """
-        rest = new
-        if self.ends:
-            rest, ends = [p for p in new if not _LETTERS_ONLY(p)], self.ends
+        out, rest = {}, new
+        if self.ends is not None:
             words = list(filter(_LETTERS_ONLY, new))
+            rest = new.difference(words)
             groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-            for group, ids in zip(groups, self.ids([" ".join(g) for g in groups]), strict=True):
-                cuts = [i for i, n in enumerate(ids, 1) if ends[n]]
+            for group, own in zip(groups, self.ids([" ".join(g) for g in groups]), strict=True):
+                ids = array("I", own)
+                cuts = (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1).tolist()
                 if len(cuts) != len(group) or cuts[-1] != len(ids):
-                    rest += group
+                    rest.update(group)
                     continue
-                yield from zip(group, (ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True)
-        yield from zip(rest, self.ids(rest), strict=True)
+                out.update(zip(group, map(self.value, [ids[a:b] for a, b in pairwise([0, *cuts])]), strict=True))
+        pieces = list(rest)
+        out.update((p, self.value(array("I", ids))) for p, ids in zip(pieces, self.ids(pieces), strict=True))
+        return out
 
     def __call__(self, texts: list[str]) -> Iterator[list]:
         """For each text the values of its pieces, in order."""
         if self.cut is None:
-            yield from ([self.value(ids)] for ids in self.ids(texts))
+            yield from ([self.value(array("I", ids))] for ids in self.ids(texts))
             return
-        pieces = [self.cut(t) for t in texts]
-        distinct = set().union(*pieces)
-        known = self.known
-        new = list(distinct.difference(known))
-        self.held += sum(map(len, new)) + ENTRY * len(new)
-        if self.held > KEPT:
-            known.clear()
-            new = list(distinct)
-            self.held = sum(map(len, new)) + ENTRY * len(new)
-        known.update((p, self.value(ids)) for p, ids in self.encoded(new))
-        for p in pieces:
-            yield list(map(known.__getitem__, p))
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
-                self.held -= len(p) + ENTRY
+        pieces, stops = [], [0]
+        for t in texts:
+            pieces += self.cut(t)
+            stops.append(len(pieces))
+        values = list(map(self.known.get, pieces))
+        unknown = [i for i, v in enumerate(values) if v is None]
+        if unknown:
+            new = self.encoded({pieces[i] for i in unknown})
+            for i in unknown:
+                values[i] = new[pieces[i]]
+            self.keep(new)
+        for a, b in pairwise(stops):
+            yield values[a:b]
+
+    def keep(self, new: dict[str, object]) -> None:
+        new = {p: v for p, v in new.items() if len(p) <= LONGEST}
+        size = sum(map(len, new)) + ENTRY * len(new)
+        if self.held + size > KEPT:
+            self.known.clear()
+            self.held = 0
+        self.known.update(new)
+        self.held += size
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -60,6 +60,18 @@ def test_pieces_encode_as_whole_texts(name):
     assert [[i for v in x for i in v] for x in own(texts)] == [list(x) for x in own.ids(texts)]
 
 
+def test_words_with_every_character_encode_as_the_library_gives_them():
+    """Capitals such as U+0181, whose small ones lie beyond the Latin letters, stay in their word; one look-up a piece."""
+    texts = [f"ab{c}cd{c} {c}e f{c}" for c in map(chr, range(0x3000)) if c != "\0"]
+    own = tokens.Encoder(path("word_bpe_49k.json"), tuple)
+    asked = []
+    library, own.ids = own.ids, lambda texts: asked.append(len(texts)) or library(texts)
+    wanted = [list(x) for x in library(texts)]
+    assert [[i for v in x for i in v] for x in own(texts)] == wanted
+    first = sum(asked)
+    assert [[i for v in x for i in v] for x in own(texts)] == wanted and sum(asked) == first
+
+
 def test_simhash(docs, none):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == len(TEXTS)
