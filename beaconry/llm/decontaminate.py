@@ -184,8 +184,9 @@ def contamination(
         .select("window", "long", "items", "p.shingle", "p.shift")
     )
     begin = F.col("at") - F.col("shift")
+    # Spark sizes what was exploded by the file it came from, and would send it whole through the driver.
     hits = (
-        spots.join(prefix, "shingle")
+        spots.hint("merge").join(prefix, "shingle")
         .where((begin >= 0) & (begin + F.col("long") <= F.size("words")))
         .where(_joined(F.col("words"), begin + 1, F.col("long")) == F.col("window"))
         .select("row", (F.col("start") + begin).alias("a"), (F.col("start") + begin + F.col("long")).alias("b"), "items")

@@ -147,8 +147,9 @@ def edges(prints: DataFrame, within: int = 3) -> DataFrame:
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
+    # Spark sizes what was exploded by the file it came from, and would send it whole through the driver.
     met = (
-        rows.join(counts, "bucket")
+        rows.hint("merge").join(counts, "bucket")
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -198,6 +199,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     named = component_ids(linked).select(F.col("id").alias("fp"), F.col("component_id").alias("_of"))
     whole = classes.join(named, "fp", "left").withColumn("_of", F.coalesce("_of", "fp"))
     labelled = whole.join(whole.groupBy("_of").agg(F.min("least").alias("component_id")), "_of").select("fp", "component_id")
-    return prints.join(labelled, "fp").select(
+    # Nor are fingerprints, which grow with the documents, sent by the size of their compressed file.
+    return prints.hint("merge").join(labelled, "fp").select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -799,3 +799,18 @@ def test_streamed_incidents_match_batch(spark):
     folder = "/root/testdata/sf0.001"
     got, want = (rows(entry.queries()[n](spark, folder), "tenant_id", "event_id", "incident_id", "joined", "notify", "reason") for n in ("stream_incidents", "incident_group"))
     assert got == want
+
+
+def test_what_was_exploded_is_not_broadcast(spark):
+    """Joins of stretches and of bucket rows are merges, whatever the size of the files they are made from."""
+    from beaconry.llm import decontaminate, simhash
+
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = frame(spark, [(1, text), (2, text + " and more"), (3, "other words")], "doc_id bigint, text string")
+    found = decontaminate.contamination(docs, frame(spark, [("i", text)], "item_id string, text string"))
+    assert [r.n_items for r in found.orderBy("doc_id").collect()] == [1, 1, 0]
+    prints = simhash.fingerprints(docs).select(F.col("fp").alias("id"), "fp").distinct()
+    plan = simhash.edges(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    plan = simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.lstrip().startswith("AdaptiveSparkPlan") and "SortMergeJoin [fp" in plan
