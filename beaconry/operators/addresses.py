@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconry.functions.scalars import ipv4_number, ipv4_text
@@ -137,15 +137,34 @@ def range_expand(wanted: DataFrame, widest: int = 0, block: int = 1 << 12) -> Da
     refused = sized.where("problem IS NOT NULL").select("tenant_id", "job_id", "cidr", F.lit(None).cast("string").alias("address"), "problem")
     last = F.col("network") + F.pow(F.lit(2), 32 - F.col("bits")).cast("long") - 1
     edge = F.when(F.col("bits") < 31, 1).otherwise(0)
-    hosts = (
+    before = Window.partitionBy("tenant_id", "job_id").orderBy("_low", "_high").rowsBetween(Window.unboundedPreceding, -1)
+    # What a job's earlier ranges hold is cut off a range, so that no address comes twice and none is compared with another.
+    apart = (
         sized.where("problem IS NULL")
         .select("tenant_id", "job_id", (F.col("network") + edge).alias("_low"), (last - edge).alias("_high"))
         .distinct()
-        .select("tenant_id", "job_id", "_high", F.explode(F.sequence(F.col("_low"), F.col("_high"), F.lit(block))).alias("_low"))
-        .repartition("tenant_id", "job_id", "_low")
-        .select("tenant_id", "job_id", F.explode(F.sequence(F.col("_low"), F.least(F.col("_low") + block - 1, F.col("_high")))).alias("_n"))
-        .distinct()
+        .withColumn("_low", F.greatest("_low", F.max("_high").over(before) + 1))
+        .where(F.col("_low") <= F.col("_high"))
+    )
+    # A number of partitions, as Spark would join blocks into few by the bytes they have before they are expanded.
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = lambda low, high: F.explode(F.sequence(low, high))
+    blocks = (
+        apart.select("tenant_id", "job_id", "_low", "_high", each(F.floor(F.col("_low") / block), F.floor(F.col("_high") / block)).alias("_block"))
+        .select(
+            "tenant_id", "job_id", F.greatest("_low", F.col("_block") * block).alias("_low"),
+            F.least("_high", F.col("_block") * block + block - 1).alias("_high"),
+        )
+        .repartition(parts, "tenant_id", "job_id", "_low")
+    )
+    # The text of the first three bytes is made once for the addresses that share it.
+    nets = blocks.select("tenant_id", "job_id", "_low", "_high", each(F.shiftright("_low", 8), F.shiftright("_high", 8)).alias("_net")).select(
+        "tenant_id", "job_id", F.greatest(F.col("_low") - F.col("_net") * 256, F.lit(0)).alias("_low"),
+        F.least(F.col("_high") - F.col("_net") * 256, F.lit(255)).alias("_high"),
+        F.concat(F.substring_index(ipv4_text(F.col("_net") * 256), ".", 3), F.lit(".")).alias("_start"),
     )
+    hosts = nets.select("tenant_id", "job_id", "_start", each(F.col("_low"), F.col("_high")).alias("_n"))
     return hosts.select(
-        "tenant_id", "job_id", F.lit(None).cast("string").alias("cidr"), ipv4_text("_n").alias("address"), F.lit(None).cast("string").alias("problem")
+        "tenant_id", "job_id", F.lit(None).cast("string").alias("cidr"), F.concat("_start", F.col("_n").cast("string")).alias("address"),
+        F.lit(None).cast("string").alias("problem"),
     ).unionByName(refused)

@@ -1,6 +1,7 @@
 """Small cases with known answers, and hard operators against plain Python."""
 
 import datetime as dt
+import ipaddress
 import json
 import os
 import random
@@ -801,6 +802,28 @@ def test_streamed_incidents_match_batch(spark):
     assert got == want
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlapping_ranges_give_each_address_once_without_comparing_addresses(spark):
+    cidrs = ["10.0.0.0/29", "10.0.0.0/31", "10.0.0.4/30", "10.0.0.0/29", "10.0.1.254/31", "10.0.0.0/22", "255.255.255.255/32", "0.0.0.0/32", "10.0.2.3/32", "10.0.4.0/31", "x"]
+    rows = [(None, "j", c) for c in cidrs] + [("t", "j", "10.0.0.2/31"), ("t", None, "10.0.0.2/31")]
+    for block in (4, 256, 1 << 12):
+        got = addresses.range_expand(frame(spark, rows, "tenant_id string, job_id string, cidr string"), block=block)
+        plan = _plan(got)
+        assert 0 <= plan.index("Generate explode") < plan.index("Aggregate")  # what is distinct are ranges
+        expected = [("t", "j", "10.0.0.2"), ("t", "j", "10.0.0.3"), ("t", None, "10.0.0.2"), ("t", None, "10.0.0.3")]
+        for c in cidrs[:-1]:
+            net = ipaddress.ip_network(c, strict=False)
+            expected += [(None, "j", str(a)) for a in (net if net.prefixlen > 30 else list(net)[1:-1])]
+        held = [(r.tenant_id, r.job_id, r.address) for r in got.where("problem IS NULL").collect()]
+        key = lambda r: tuple(map(str, r))
+        assert sorted(held, key=key) == sorted(set(expected), key=key)
+    spread = addresses.range_expand(frame(spark, [("t", "j", "10.0.0.0/14")], "tenant_id string, job_id string, cidr string"))
+    assert spread.select(F.spark_partition_id()).distinct().count() == 4  # as many as spark.sql.shuffle.partitions
+
+
 def test_what_was_exploded_is_not_broadcast(spark):
     """Joins of stretches and of bucket rows are merges, whatever the size of the files they are made from."""
     from beaconry.llm import decontaminate, simhash
