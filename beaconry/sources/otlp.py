@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import maps
 from beaconry.functions.binding import let
+from beaconry.functions.staging import stage
 
 # How deep a nested attribute value is read with its request; deeper ones are read from their text, a level a round.
 NESTING = 3
@@ -168,8 +169,24 @@ def unreadable(requests: DataFrame, kind: str, payload: str = "payload") -> Data
     keeps its row, marked as without a time, and a point has none. Metrics of other kinds, and points without a
     time or a value, are counted by `otlp_metrics_unsupported`.
     """
-    schema, groups, scopes, items = _PARTS[kind]
-    within = F.flatten(F.transform(F.filter("_groups", lambda g: g[scopes].isNotNull()), lambda g: g[scopes]))
+    schema, *names = _PARTS[kind]
+    # An error in a request is told with the whole type it was found in, which costs far more than reading it, so faults are
+    # looked for without the types of attributes. Only a request without one is read as its rows are.
+    told = _told(requests, kind, F.col(payload), schema.replace(_ATTRS, "STRING"), names, "_fault")
+    told = _told(told, kind, F.when(F.col("_fault").isNull(), F.col(payload)), schema, names, "reason", F.col("_fault"))
+    return told.where(F.col("reason").isNotNull()).select(*requests.columns, "reason")
+
+
+def _told(requests: DataFrame, kind: str, text: Column, schema: str, names: list[str], out: str, known: Column | None = None) -> DataFrame:
+    """Add `out`: what cannot be read of a request's text by a schema, where nothing is `known`, and null without a fault.
+
+    Steps are staged, as a filter on the reason would be moved below the reading and take a copy of it for each use.
+    """
+    groups, scopes, items = names
+    read = stage(requests, {"_groups": F.from_json(text, schema)[groups]})
+    read = stage(read, {"_within": F.flatten(F.transform(F.filter("_groups", lambda g: g[scopes].isNotNull()), lambda g: g[scopes]))})
+    read = stage(read, {"_listed": F.flatten(F.transform(F.filter("_within", lambda s: s[items].isNotNull()), lambda s: s[items]))})
+    within, listed = F.col("_within"), F.col("_listed")
     partly = F.when(F.exists("_groups", lambda g: g[scopes].isNull()), "a group without scopes").when(
         F.exists(within, lambda s: s[items].isNull()), "a scope without records"
     )
@@ -178,10 +195,10 @@ def unreadable(requests: DataFrame, kind: str, payload: str = "payload") -> Data
         blank = lambda s: F.exists(s[items], lambda m: unread(m, "gauge") | unread(m, "sum"))
         partly = partly.when(F.exists(within, blank), "a metric without points")
     wrong = lambda n, type="decimal(20,0)": n.isNotNull() & n.try_cast(type).isNull()
-    listed = F.flatten(F.transform(F.filter(within, lambda s: s[items].isNotNull()), lambda s: s[items]))
     if kind == "metrics":
         held = F.transform(listed, lambda m: F.coalesce(m.gauge.dataPoints, m["sum"].dataPoints))
-        points = F.flatten(F.filter(held, lambda p: p.isNotNull()))
+        read = stage(read, {"_points": F.flatten(F.filter(held, lambda p: p.isNotNull()))})
+        points = F.col("_points")
         partly = partly.when(F.exists(points, lambda p: wrong(p.timeUnixNano)), "a time that is no number").when(
             F.exists(points, lambda p: p.asDouble.isNull() & wrong(p.asInt, "double")), "a value that is no number"
         )
@@ -190,12 +207,13 @@ def unreadable(requests: DataFrame, kind: str, payload: str = "payload") -> Data
         partly = partly.when(F.exists(listed, lambda r: wrong(r[times[0]]) | wrong(r[times[1]])), "a time that is no number")
     reason = (
         F.when(F.col("_groups").isNotNull(), partly)
-        .when(F.col(payload).isNull(), "no payload")
-        .when(F.get_json_object(payload, "$").isNull(), "not JSON")
+        .when(text.isNull(), "no payload")
+        .when(F.get_json_object(text, "$").isNull(), "not JSON")
         .otherwise("no records")
     )
-    read = requests.withColumn("_groups", F.from_json(payload, schema)[groups])
-    return read.withColumn("reason", reason).drop("_groups").where(F.col("reason").isNotNull())
+    if known is not None:
+        reason = F.when(known.isNotNull(), known).otherwise(reason)
+    return stage(read, {out: reason}).select(*requests.columns, out)
 
 
 def otlp_logs(requests: DataFrame, payload: str = "payload", received: str = "received_at") -> DataFrame:

@@ -806,6 +806,22 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("kind", ["logs", "metrics", "spans"])
+def test_a_request_is_read_once_for_its_faults_and_once_as_its_rows_are(spark, kind):
+    df = frame(spark, [("a", None)], "k string, payload string")
+    assert _plan(otlp.unreadable(df, kind)).count("from_json(") == 2
+
+
+def test_faults_beside_malformed_attributes_are_told(spark):
+    """What only the types of attributes bring to light is still told, and the first fault of those that need no types."""
+    payload = lambda attributes, spans: f'{{"resourceSpans":[{{"resource":{{"attributes":{attributes}}},"scopeSpans":{spans}}}]}}'
+    good = '[{"key":"a","value":{"stringValue":"b"}}]'
+    cases = {"whole": payload(good, '[{"spans":[{}]}]'), "scopes": payload(good, '"oops"'), "both": payload('["x"]', '"oops"'), "number": payload(good, '[{"spans":[{"startTimeUnixNano":"x"}]}]')}
+    found = {r.k: r.reason for r in otlp.unreadable(frame(spark, list(cases.items()), "k string, payload string"), "spans").collect()}
+    assert found.pop("both") is not None
+    assert found == {"scopes": "a group without scopes", "number": "a time that is no number"}
+
+
 def test_overlapping_ranges_give_each_address_once_without_comparing_addresses(spark):
     cidrs = ["10.0.0.0/29", "10.0.0.0/31", "10.0.0.4/30", "10.0.0.0/29", "10.0.1.254/31", "10.0.0.0/22", "255.255.255.255/32", "0.0.0.0/32", "10.0.2.3/32", "10.0.4.0/31", "x"]
     rows = [(None, "j", c) for c in cidrs] + [("t", "j", "10.0.0.2/31"), ("t", None, "10.0.0.2/31")]
