@@ -853,3 +853,49 @@ def test_what_was_exploded_is_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     plan = simhash.near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.lstrip().startswith("AdaptiveSparkPlan") and "SortMergeJoin [fp" in plan
+
+
+def _streamed(spark, folder, parts, schema, transform):
+    """What a stream writes of parts that arrive one after another, with a restart between them."""
+    for data in parts:
+        frame(spark, data, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = transform(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def test_streams_call_python_for_buckets_and_match_batch(spark, tmp_path, monkeypatch):
+    """A record per key is kept over restarts, also of null keys; Python is called for buckets, not for keys."""
+    rng = random.Random(5)
+    data = [("t", f"k{rng.randrange(60)}" if i % 50 else None, i, at(i * 30), rng.random() < 0.6, rng.choice([0, 60])) for i in range(900)]
+    schema = "tenant_id string, dedup_key string, evaluation_id long, at timestamp, breaching boolean, hold_seconds long"
+    got = _streamed(spark, tmp_path / "alerts", [data[:400], data[400:]], schema, lambda s: stateful.stream_alerts(s, buckets=4))
+    keys = {}
+    for row in data:
+        keys.setdefault(row[1], []).append(row)
+    expected = {}
+    for steps in keys.values():
+        phase, since = "ok", None
+        for _, _, n, when, breach, hold in steps:
+            was, active = phase, phase in ("pending", "firing")
+            if not breach:
+                phase, since = ("resolved" if was == "firing" else "ok"), when
+            elif was != "firing":
+                start = since if active else when
+                fires = (when - start).total_seconds() >= hold if active else hold <= 0
+                phase, since = ("firing", when) if fires else ("pending", start)
+            expected[n] = (phase, since, phase != was and phase in ("firing", "resolved"))
+    assert {r.evaluation_id: (r.phase, r.since, r.notify) for r in got.collect()} == expected
+    # Keys of a stream are its state's rows: no more than there are buckets.
+    states = [("t", f"d{rng.randrange(80)}", at(i), i, rng.choice(["up", "down", "degraded"])) for i in range(900)]
+    schema = "tenant_id string, resource_id string, observed_at timestamp, reading_id long, current_status string"
+    known = frame(spark, [("t", f"d{i}", "up") for i in range(40)], "tenant_id string, id string, status string")
+    got = _streamed(spark, tmp_path / "states", [states[:300], states[300:]], schema, lambda s: stateful.stream_transitions(s, known, buckets=4))
+    last, changes = {f"d{i}": "up" for i in range(40)}, set()
+    for _, name, _, n, status in states:
+        was, last[name] = last.get(name, "unknown"), status
+        if was != status and was not in stateful.HELD:
+            changes.add((n, was, status))
+    assert {(r.reading_id, r.previous_status, r.current_status) for r in got.collect()} == changes
+    held = spark.read.format("statestore").load(str(tmp_path / "states" / "progress"))
+    assert held.count() <= 4
