@@ -899,3 +899,19 @@ def test_streams_call_python_for_buckets_and_match_batch(spark, tmp_path, monkey
     assert {(r.reading_id, r.previous_status, r.current_status) for r in got.collect()} == changes
     held = spark.read.format("statestore").load(str(tmp_path / "states" / "progress"))
     assert held.count() <= 4
+
+
+def test_rows_of_a_tenant_are_merged_from_sorted_runs(monkeypatch):
+    """A tenant's rows need not fit in memory: runs in files give the order of one sort, nulls last."""
+    rng = random.Random(6)
+    rows_ = [(None if i % 90 == 7 else pd.Timestamp(rng.randrange(50), unit="s"), rng.randrange(2), None if i % 70 == 3 else f"e{i}", [f"x{i}"] if i % 3 else None) for i in range(500)]
+    whole = pd.DataFrame(rows_, columns=["at", "rank", "event_id", "near"])
+    monkeypatch.setattr(stateful, "SORTED", 60)
+    monkeypatch.setattr(stateful, "READ", 7)
+    sizes, sort = [], stateful._in_order
+    monkeypatch.setattr(stateful, "_in_order", lambda batches, order: sizes.append(len(f := sort(batches, order))) or f)
+    batches = (whole.iloc[i : i + 30] for i in range(0, 500, 30))
+    got = [(r.event_id, r.rank, None if r.near is None else list(r.near)) for r in stateful._merged(batches, ["at", "rank", "event_id"])]
+    want = whole.sort_values(["at", "rank", "event_id"])
+    assert got == [(e, r, n) for e, r, n in zip(want["event_id"].where(want["event_id"].notna(), None), want["rank"], want["near"])]
+    assert max(sizes) <= 60
