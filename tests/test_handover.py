@@ -149,3 +149,21 @@ def test_slices_divide_a_day(spark):
     with pytest.raises(ValueError):
         budgeted(spark, [("t", "c", 1, T0, None)], {"t": 1}, {"c": 1}, 7000)
     assert budgeted(spark, [("w", "c", 1, T0, None)], {"t": 1}, {"c": 1}, 3600) == {}
+
+
+def test_a_slice_is_handed_no_more_than_its_rows_name(spark, monkeypatch):
+    """An incident that is open for days holds ever more; what slices begin with does not grow with it."""
+    events = [("t", T0 + dt.timedelta(minutes=2 * i), f"e{i:05}", "fire", "r", f"t-d{i}", f"r/{i}") for i in range(1500)]
+    events += [("t", T0 + dt.timedelta(minutes=2 * i + 1), f"c{i:05}", "clear", "r", f"t-d{i}", f"r/{i}") for i in range(0, 1500, 3)]
+    edges = [("t", f"t-d{i}", f"t-d{i // 2}", "depends_on") for i in range(1, 1500)]
+    starts, held = [], incidents.cut_lineage
+
+    def seen(df):
+        out = held(df)
+        if "start" in out.columns:
+            starts.extend(len(r.start) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(incidents, "cut_lineage", seen)
+    assert grouped(spark, events, edges, 3600) == plain(events, edges)
+    assert max(starts) < 6000  # of an incident with 1500 members at the end
